@@ -295,10 +295,18 @@ class Wrappers:
         return self.made[host]
 
 
-def first_pages(df: DataFrame) -> DataFrame:
-    """(host, html) of the page with the smallest page_id of each host, without null html."""
+def first_pages(df: DataFrame, broadcast_mb: int = 64) -> DataFrame:
+    """(host, html) of the page with the smallest page_id of each host, without null html.
+
+    The hosts' page numbers go to all tasks while they take up to broadcast_mb,
+    so that no html is shuffled but the first pages'; beyond that pages and
+    hosts are joined by shuffling.
+    """
     pages = df.where("html is not null").select(F.col("page_id").cast("long"), _host().alias("host"), "html")
     first = pages.groupBy("host").agg(F.min("page_id").alias("page_id")).select(F.col("host").alias("_host"), F.col("page_id").alias("_page"))
+    first = materialise(first, "first-page-ids")
+    if (first.agg(F.sum(F.octet_length("_host") + 64)).first()[0] or 0) <= broadcast_mb << 20:
+        first = F.broadcast(first)
     return pages.join(first, (F.col("host") == F.col("_host")) & F.col("page_id").eqNullSafe(F.col("_page")), "left_semi").groupBy("host").agg(F.min("html").alias("html"))
 
 
@@ -316,7 +324,7 @@ def main_text(df: DataFrame, least_pages: int = LEAST_PAGES, same: float = SAME,
     """
     spark = df.sparkSession
     pages = df.select(F.col("page_id").cast("long"), "url", "html", _host().alias("host"))
-    first = materialise(first_pages(df), "first-pages")
+    first = materialise(first_pages(df, broadcast_mb), "first-pages")
     taken = first.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     small = taken <= broadcast_mb << 20
     held = spark.sparkContext.broadcast(Wrappers({r["host"]: r["html"] for r in first.toLocalIterator()}) if small else None)
