@@ -17,52 +17,62 @@ from scriptora.llm.components import connected_components, forest
 
 COSINE = 0.93
 #: Vectors of one cell, whose tree one task builds; vectors of the sample that the upper levels come from; a leaf of a tree.
-CELL, SAMPLE, LEAF = 2048, 16_384, 24
+CELL, SAMPLE, LEAF = 2048, 16_384, 256
 
 
 class CoverTree:
-    """Nested levels with halving radii over unit vectors: a node keeps its centre as its first child's.
+    """Nested levels with halving radii over unit vectors: a node's first child has its centre, and the lowest nodes are single points.
 
     Arrays hold each node's centre (a row of the points), covering radius (the
-    true largest distance of its points) and range of `order`, which lists the
-    points so that each node's are adjacent.
+    true largest distance of its points), size and children. Nodes of up to
+    `leaf` points have their points for children.
     """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.points = points
-        self.order = np.arange(len(points))
-        self.centre, self.radius, self.start, self.end, self.children = [], [], [], [], []
+        self.centre, self.radius, self.size, self.children = [], [], [], []
         if len(points):
             self._build(leaf)
+        self.centre, self.radius = np.array(self.centre, "i8"), np.array(self.radius, "f8")
+        self.single = np.array(self.size, "i8") == 1
 
-    def _node(self, start: int, end: int, centre: int, gaps: np.ndarray) -> int:
-        for v, x in ((self.centre, centre), (self.radius, float(gaps.max(initial=0.0))), (self.start, start), (self.end, end), (self.children, [])):
+    def _node(self, centre: int, radius: float, size: int) -> int:
+        for v, x in ((self.centre, centre), (self.radius, radius), (self.size, size), (self.children, np.zeros(0, "i8"))):
             v.append(x)
         return len(self.centre) - 1
 
     def _build(self, leaf: int) -> None:
-        todo = [(self._node(0, len(self.order), 0, self._gaps(self.order, 0)), 1.0)]
+        every = np.arange(len(self.points))
+        gaps = _distance(self.points, self.points[:1])[:, 0]
+        todo = [(self._node(0, float(gaps.max()), len(every)), every, 1.0)] if len(every) > 1 else []
+        if not todo:
+            self._node(0, 0.0, 1)
         while todo:
-            node, level = todo.pop()
-            start, end = self.start[node], self.end[node]
-            if end - start <= leaf or self.radius[node] < 1e-7:
-                continue
-            while level >= self.radius[node]:
-                level /= 2
-            left, at, pick = self.order[start:end].copy(), start, self.centre[node]
-            while len(left):
-                gaps = self._gaps(left, pick)
-                near = gaps <= level
-                own = left[near]
-                self.order[at : at + len(own)] = own
-                child = self._node(at, at + len(own), pick, gaps[near])
-                self.children[node].append(child)
-                todo.append((child, level / 2))
-                at, left = at + len(own), left[~near]
-                pick = left[0] if len(left) else 0
-
-    def _gaps(self, rows: np.ndarray, centre: int) -> np.ndarray:
-        return _distance(self.points[rows], self.points[centre][None])[:, 0]
+            node, rows, level = todo.pop()
+            children = []
+            if len(rows) <= leaf or self.radius[node] < 1e-7:
+                first = rows == self.centre[node]
+                children = [self._node(int(k), 0.0, 1) for k in np.concatenate([rows[first], rows[~first]])]
+            else:
+                while level >= self.radius[node]:
+                    level /= 2
+                pick, points = self.centre[node], self.points[rows]
+                while len(rows):
+                    gaps = _distance(points, self.points[pick][None])[:, 0]
+                    near = gaps <= level
+                    near |= rows == pick
+                    own, far = rows[near], ~near
+                    children.append(self._node(int(pick), float(gaps[near].max()) if len(own) > 1 else 0.0, len(own)))
+                    if len(own) > 1:
+                        todo.append((children[-1], own, level / 2))
+                    rows, points = rows[far], points[far]
+                    pick = rows[0] if len(rows) else 0
+            self.children[node] = np.array(children, "i8")
+
+    def below(self, nodes: np.ndarray) -> np.ndarray:
+        """The nodes one level down; single points stay."""
+        single = self.single[nodes]
+        return np.concatenate([nodes[single], *(self.children[k] for k in nodes[~single])])
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,45 +82,49 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (i of a, j of b) whose cosine is at least `cosine`; within one tree (a is b) each pair i < j once.
 
-    Node pairs further apart than their covering radii and the threshold's
-    distance allow are pruned, whole blocks of children at a time.
+    Both trees are gone down together, a block of nodes against a block of
+    nodes: pairs of nodes further apart than their covering radii and the
+    threshold's distance allow are pruned, pairs of points are decided, and
+    every other node goes on with those that are left beside it.
     """
     far, same = math.sqrt(2 - 2 * cosine) + 1e-6, a is b
-    todo = [(0, 0)] if len(a.points) and len(b.points) else []
+    top = np.zeros(1, "i8")
+    todo = [(a.below(top), b.below(top), same)] if len(a.points) and len(b.points) else []
     while todo:
-        x, y = todo.pop()
-        xs, ys = a.children[x] or [x], b.children[y] or [y]
-        if len(xs) == 1 and len(ys) == 1 and not a.children[x] and not b.children[y]:
-            rows, columns = a.order[a.start[x] : a.end[x]], b.order[b.start[y] : b.end[y]]
-            i, j = np.nonzero(a.points[rows] @ b.points[columns].T >= cosine)
-            i, j = rows[i], columns[j]
-            if same:
-                if x == y:
-                    i, j = i[i < j], j[i < j]
-                else:
-                    i, j = np.minimum(i, j), np.maximum(i, j)
-            if len(i):
-                yield i, j
-            continue
+        xs, ys, mirror = todo.pop()
         for lo in range(0, len(xs), 1024):
-            own = np.array(xs[lo : lo + 1024])
-            ca, cb = np.array([a.centre[k] for k in own]), np.array([b.centre[k] for k in ys])
-            dots = a.points[ca] @ b.points[cb].T
-            gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots))
-            bound = far + np.array([a.radius[k] for k in own])[:, None] + np.array([b.radius[k] for k in ys])[None]
-            p, q = np.nonzero(gaps <= bound)
-            single = np.array([a.end[k] - a.start[k] == 1 for k in own])[p] & np.array([b.end[k] - b.start[k] == 1 for k in ys])[q]
-            i, j = p[single], q[single]
-            hit = dots[i, j] >= cosine
-            i, j = ca[i[hit]], cb[j[hit]]
-            if same:
-                i, j = (i[i < j], j[i < j]) if x == y else (np.minimum(i, j), np.maximum(i, j))
+            own = xs[lo : lo + 1024]
+            dots = a.points[a.centre[own]] @ b.points[b.centre[ys]].T
+            close = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots)) <= far + a.radius[own][:, None] + b.radius[ys][None]
+            if mirror:
+                close &= np.arange(lo, lo + len(own))[:, None] <= np.arange(len(ys))[None]
+            p, q = np.nonzero(close)
+            decided = a.single[own[p]] & b.single[ys[q]]
+            hit = decided & (dots[p, q] >= cosine)
+            if mirror:
+                hit &= p + lo != q
+            i, j = a.centre[own[p[hit]]], b.centre[ys[q[hit]]]
             if len(i):
-                yield i, j
-            p, q = own[p[~single]], np.array(ys)[q[~single]]
-            if same and x == y:
-                p, q = p[p <= q], q[p <= q]
-            todo += zip(p.tolist(), q.tolist(), strict=True)
+                yield (np.minimum(i, j), np.maximum(i, j)) if same else (i, j)
+            p, q = p[~decided], q[~decided]
+            large = ~a.single[own[p]]
+            for k, at in _grouped(p[large]):
+                others = ys[q[large][at]]
+                if mirror and (others == own[k]).any():
+                    todo.append((a.children[own[k]], b.children[own[k]], True))
+                    others = others[others != own[k]]
+                if len(others):
+                    todo.append((a.children[own[k]], b.below(others), False))
+            for k, at in _grouped(q[~large]):
+                todo.append((own[p[~large][at]], b.children[ys[k]], False))
+
+
+def _grouped(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each different value with the places where it is."""
+    order = np.argsort(values, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(values[order])) + 1):
+        if len(at):
+            yield int(values[at[0]]), at
 
 
 def unit_vectors(df: DataFrame) -> DataFrame:
@@ -189,8 +203,8 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, cell: int = CELL, sample
 
     def bundle(x: pd.DataFrame) -> pd.DataFrame:
         points = np.frombuffer(b"".join(x["unit"]), "<f8").reshape(len(x), -1)
-        tree = CoverTree(points, len(points))
-        return pd.DataFrame({"id": [x["id"].iloc[0]], "label": [x["label"].iloc[0]], "width": [x["width"].iloc[0]], "centre": [points[0].tobytes()], "radius": [tree.radius[0]], "units": [points.tobytes()], "reps": [x["rep"].to_numpy("<i8").tobytes()], "counts": [x["n"].to_numpy("<i8").tobytes()]})
+        radius = float(_distance(points, points[:1]).max())
+        return pd.DataFrame({"id": [x["id"].iloc[0]], "label": [x["label"].iloc[0]], "width": [x["width"].iloc[0]], "centre": [points[0].tobytes()], "radius": [radius], "units": [points.tobytes()], "reps": [x["rep"].to_numpy("<i8").tobytes()], "counts": [x["n"].to_numpy("<i8").tobytes()]})
 
     placed = placed.withColumn("id", F.xxhash64("label", "width", "cell", "chunk")).select("id", "label", "width", "unit", "rep", "n")
     bundles = placed.groupBy("id").applyInPandas(bundle, "id long, label string, width int, centre binary, radius double, units binary, reps binary, counts binary")

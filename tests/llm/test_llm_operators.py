@@ -233,13 +233,14 @@ def test_cover_tree_covers_and_nests():
     points = np.random.default_rng(2).normal(size=(300, 5))
     points /= np.linalg.norm(points, axis=1, keepdims=True)
     tree = embed_dedup.CoverTree(points, leaf=4)
-    assert sorted(tree.order) == list(range(300))
+
+    def below(k):
+        return [int(tree.centre[k])] if tree.single[k] else [x for c in tree.children[k] for x in below(c)]
+
+    assert sorted(below(0)) == list(range(300))
     for k, children in enumerate(tree.children):
-        own = tree.order[tree.start[k] : tree.end[k]]
-        assert np.linalg.norm(points[own] - points[tree.centre[k]], axis=1).max() <= tree.radius[k] + 1e-6
-        if children:
-            assert tree.centre[children[0]] == tree.centre[k]
-            assert sum(tree.end[c] - tree.start[c] for c in children) == len(own)
+        assert np.linalg.norm(points[below(k)] - points[tree.centre[k]], axis=1).max() <= tree.radius[k] + 1e-6
+        assert tree.size[k] == len(below(k)) and (not len(children) or tree.centre[children[0]] == tree.centre[k])
 
 
 # 4 sharding
