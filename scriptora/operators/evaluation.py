@@ -68,7 +68,7 @@ def confidence_histogram(df: DataFrame, conf: str = "confidence", correct: str =
 
 def error_summary(counts: DataFrame, limit: int = 50) -> DataFrame:
     """The most frequent confusions, with names where the registry has them."""
-    return counts.where("true <> pred").orderBy(F.desc("n"), "true", "pred").limit(limit).select(F.col("true").alias("true_lang"), F.col("pred").alias("pred_lang"), F.col("n").alias("count"), R.lookup(F.col("true"), 1).alias("true_name"), R.lookup(F.col("pred"), 1).alias("pred_name"))
+    return counts.where(F.col("true") != F.col("pred")).orderBy(F.desc("n"), "true", "pred").limit(limit).select(F.col("true").alias("true_lang"), F.col("pred").alias("pred_lang"), F.col("n").alias("count"), R.lookup(F.col("true"), 1).alias("true_name"), R.lookup(F.col("pred"), 1).alias("pred_name"))
 
 
 def error_rate(counts: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def error_rate(counts: DataFrame) -> DataFrame:
 
 def error_samples(df: DataFrame, n: int = 5, true: str = "true", pred: str = "pred", text: str = "text", key: str = "doc_id") -> DataFrame:
     """The first n errors of each confusion by id, texts cut to 200 characters."""
-    wrong = df.select(F.col(true).alias("true_lang"), F.coalesce(F.col(pred), F.lit("")).alias("pred_lang"), key, F.substring(text, 1, 200).alias("text")).where("true_lang <> pred_lang")
+    wrong = df.select(F.col(true).alias("true_lang"), F.coalesce(F.col(pred), F.lit("")).alias("pred_lang"), key, F.substring(text, 1, 200).alias("text")).where(F.col("true_lang") != F.col("pred_lang"))
     return wrong.withColumn("rank", F.row_number().over(Window.partitionBy("true_lang", "pred_lang").orderBy(key))).where(F.col("rank") <= n)
 
 

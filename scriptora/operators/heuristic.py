@@ -20,6 +20,8 @@ def identify(df: DataFrame, text: str = "text") -> DataFrame:
 
     Counts are staged: letters once, one count a range, then the rules; one
     long CASE over regular expressions would evaluate them again and again.
+    The answer comes out of a one-element array, through which the optimizer
+    pushes no later filter or expression back into the stages.
     """
     staged = df.withColumn("_a", F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[^{LETTER}]+", ""))
     every = {**RANGES, "_dev": DEVANAGARI, "_asc": ASCII}
@@ -29,7 +31,8 @@ def identify(df: DataFrame, text: str = "text") -> DataFrame:
     rules = [(share("_asc") > 0.85, "eng", F.lit(0.90)), (share("_dev") > 0.75, "hin", F.lit(0.55))] + [(share(k) > 0.75, k, F.least(F.lit(0.98), 0.7 + 0.28 * share(k))) for k in reversed(RANGES)]
     for when, code, value in rules:
         lang, conf = F.when((F.col("_n") > 0) & when, F.lit(code)).otherwise(lang), F.when((F.col("_n") > 0) & when, value).otherwise(conf)
-    return staged.withColumn("rule_lang", lang).withColumn("rule_confidence", conf).drop("_a", "_n", *(f"_n_{k}" for k in every))
+    answer = F.explode(F.array(F.struct(lang.alias("lang"), conf.alias("conf"))))
+    return staged.select(*df.columns, answer.alias("_r")).select(*df.columns, F.col("_r.lang").alias("rule_lang"), F.col("_r.conf").alias("rule_confidence"))
 
 
 def with_fallback(df: DataFrame) -> DataFrame:
