@@ -211,9 +211,12 @@ def near_duplicates(df: DataFrame, words: int = WORDS, distance: int = DISTANCE,
 
 
 def without_near_duplicates(df: DataFrame, **how) -> DataFrame:
-    """df without all but the first document, by doc_id, of each group; of rows that share that doc_id one stays."""
+    """df without all but the first document, by doc_id, of each group; of rows that share that doc_id one stays.
+
+    Texts are shuffled once, by doc_id, at every size; only ids are held in memory.
+    """
     groups = near_duplicates(df, **how)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
     stay = materialise(stay, "kept")
-    once = df.join(stay.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    once = df.join(stay.select("_id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return once if stay.where("_rows > 1").isEmpty() else once.dropDuplicates(["doc_id"])
