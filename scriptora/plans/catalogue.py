@@ -27,7 +27,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang (registered code where there is one), text."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", R.corpus_code(F.col("lang")).alias("lang"), "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", R.corpus_code(F.col("lang")).alias("lang"), "text"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a table of few splits over all cores; one with splits enough is left as it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def r6(*names: str) -> list:
