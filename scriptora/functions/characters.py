@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from scriptora.functions import classes as K
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that is evaluated once a row, however often the body names it: a lambda's variable holds it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tally(text: Column) -> Column:
     """array<struct<c,n>>: each different character with its count."""
     text = F.coalesce(text, F.lit(""))

@@ -28,24 +28,52 @@ PUBLIC = [
 ]
 
 
+#: Runs are placed in chunks of so many: arrays grow within a chunk and over the chunks, not over all runs of a text.
+CHUNK = 64
+PLACED = "array<struct<start:int,end:int,text:string>>"
+
+
+def _runs(text: Column) -> tuple[Column, Column]:
+    """Code points before a text's first letter, and its maximal runs of one block from there."""
+    text = F.coalesce(text, F.lit(""))
+    body = F.regexp_replace(text, rf"^[^{K.LETTER}]+", "")
+    return F.length(text) - F.length(body), F.regexp_extract_all(body, F.lit(K.segment_pattern()), 0)
+
+
+def _long_enough(run: Column) -> Column:
+    return F.length(F.regexp_replace(run, rf"[^{K.LETTER}]+", "")) >= 3
+
+
+def _placed(runs: Column, begin: Column) -> Column:
+    """array<struct<start,end,text>> of runs that follow one another from begin on."""
+    nothing = F.struct(begin.alias("at"), F.array().cast(PLACED).alias("out"))
+    return F.aggregate(
+        runs, nothing,
+        lambda a, r: F.struct((a["at"] + F.length(r)).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(r)).alias("end"), r.alias("text")))).alias("out")),
+    )["out"]
+
+
 def segments(text: Column) -> Column:
     """array<struct<script,start,end,text,char_count>>: maximal runs of one block, with at least three letters.
 
     Offsets are code points, ends exclusive; what is not a letter belongs to
     the run before it, and what comes before the first letter to none.
     """
-    text = F.coalesce(text, F.lit(""))
-    body = F.regexp_replace(text, rf"^[^{K.LETTER}]+", "")
-    runs = F.regexp_extract_all(body, F.lit(K.segment_pattern()), 0)
-    begin = F.length(text) - F.length(body)
-    placed = F.aggregate(
-        runs, F.struct(begin.alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")),
-        lambda a, r: F.struct((a["at"] + F.length(r)).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(r)).alias("end"), r.alias("text")))).alias("out")),
-    )["out"]
-    kept = F.filter(placed, lambda x: F.length(F.regexp_replace(x["text"], rf"[^{K.LETTER}]+", "")) >= 3)
+    begin, runs = _runs(text)
+    last = lambda r: F.greatest(F.lit(0), F.floor((F.size(r) - 1) / CHUNK).cast("int"))
+    chunks = C.bound(runs, lambda r: F.transform(F.sequence(F.lit(0), last(r)), lambda k: F.slice(r, k * CHUNK + 1, F.lit(CHUNK))))
+    chars = lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, r: n + F.length(r))
+    starts = lambda every: F.aggregate(every, F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out")), lambda a, c: F.struct((a["at"] + chars(c)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+    placed = C.bound(chunks, lambda every: F.flatten(F.zip_with(every, starts(every), _placed)))
+    kept = F.filter(placed, lambda x: _long_enough(x["text"]))
     return F.transform(kept, lambda x: F.struct(C.block_of(F.substring(x["text"], 1, 1)).alias("script"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.length(x["text"]).alias("char_count")))
 
 
+def segment_count(text: Column) -> Column:
+    """The number of segments, without placing them."""
+    return F.size(F.filter(_runs(text)[1], _long_enough))
+
+
 def mixing_score(shares: Column) -> Column:
     """Entropy of the shares over its largest value; 0 for one script or none."""
     h = F.aggregate(F.map_values(shares), F.lit(0.0), lambda a, p: a - p * F.log2(p))
@@ -68,7 +96,7 @@ def analyze(df: DataFrame, text: str = "text") -> DataFrame:
     })
     staged = staged.withColumns({
         "other_chars": n - F.col("alpha_chars") - F.col("digit_chars") - F.col("punct_chars") - F.col("space_chars"), "script_distribution": C.shares(F.col("_blocks")), "dominant_script": C.largest(F.col("_blocks")),
-        "script_transitions": F.greatest(F.lit(0), F.size("script_segments") - 1).cast("long"), "has_excessive_punct": F.col("punct_chars") / F.greatest(n, F.lit(1)) > 0.15,
+        "script_transitions": F.greatest(F.lit(0), segment_count(F.col("_t")) - 1).cast("long"), "has_excessive_punct": F.col("punct_chars") / F.greatest(n, F.lit(1)) > 0.15,
         "_ranked": F.slice(F.array_sort(F.transform("_every", lambda x, k: F.struct((-x["n"]).alias("n"), k.alias("at"), x["k"].alias("k")))), 1, 10),
         "rtl_ratio": F.aggregate(F.filter("_blocks", lambda x: x["k"].isin("Arabic", "Hebrew")), F.lit(0).cast("long"), lambda a, x: a + x["n"]) / F.greatest(F.col("alpha_chars"), F.lit(1)),
     })
