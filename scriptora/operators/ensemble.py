@@ -36,7 +36,8 @@ def soft_vote(probs: Mapping[str, Column], weights: Mapping[str, float] = WEIGHT
     total = sum(weights.get(k, 0.0) for k in probs)
     out = F.array(*[F.lit(0.0)] * len(R.CODES))
     for k, p in probs.items():
-        out = F.zip_with(out, p, lambda a, b, w=weights.get(k, 0.0): a + b * (w / total if total else 0.0))
+        share = weights.get(k, 0.0) / total if total else 0.0
+        out = F.zip_with(out, F.transform(p, lambda x: x * share), lambda a, b: a + b)  # noqa: B023
     return out
 
 

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from scriptora.functions import characters as C
 from scriptora.functions.cleaning import one_line
@@ -41,14 +43,23 @@ class CharNgramModel:
         self.maps: list[list[tuple[list[float], list[float]]]] = []
 
     def _vectors(self, df: DataFrame, text: str) -> DataFrame:
-        counted = self.vocabulary.transform(df.withColumn("_grams", char_wb_ngrams(F.coalesce(F.col(text), F.lit("")))))
+        counted = self.vocabulary.transform(df.withColumn("_grams", char_wb_ngrams(F.coalesce(F.col(text), F.lit(""))))).drop("_grams")
         idf = self.idf
 
-        @F.udf(VectorUDT())
-        def weighted(v):
-            return Vectors.sparse(v.size, v.indices, (1.0 + np.log(v.values)) * idf[v.indices]) if len(v.indices) else v
-
-        return Normalizer(p=2.0, inputCol="_raw", outputCol="_x").transform(counted.withColumn("_raw", weighted("_tf")).drop("_grams", "_tf")).drop("_raw")
+        def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = b.schema.get_field_index("_tf")
+                kind, size, indices, values = b.column(at).flatten()
+                n = np.diff(indices.offsets.to_numpy())
+                row, tf = np.repeat(np.arange(len(n)), n), values.flatten().to_numpy()
+                w = (1.0 + np.log(tf)) * idf[indices.flatten().to_numpy()]
+                norm = np.sqrt(np.bincount(row, w * w, len(n)))
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                scaled = pa.ListArray.from_arrays(ends, pa.array(w / norm[row]), type=values.type)
+                x = pa.StructArray.from_arrays([kind, size, indices, scaled], fields=list(b.column(at).type))
+                yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != at), x], [*(c for c in b.schema.names if c != "_tf"), "_x"])
+
+        return counted.mapInArrow(weighted, StructType([f for f in counted.schema if f.name != "_tf"] + [StructField("_x", VectorUDT())]))
 
     def _fit(self, df: DataFrame, n: int) -> LogisticRegressionModel:
         return LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", regParam=1 / (self.c * n), elasticNetParam=0.0, standardization=False, maxIter=self.iterations).fit(df)
@@ -60,14 +71,7 @@ class CharNgramModel:
         grams = df.withColumn("_grams", char_wb_ngrams(F.coalesce(F.col(text), F.lit(""))))
         self.vocabulary = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=self.features, minDF=2, maxDF=0.95).fit(grams)
         n = df.count()
-        terms = self.vocabulary.transform(grams).select(F.posexplode(vector_to_array("_tf")).alias("k", "v")) if len(self.vocabulary.vocabulary) < 2000 else None
-        index = {w: k for k, w in enumerate(self.vocabulary.vocabulary)}
-        found = np.zeros(len(index))
-        rows = terms.where("v > 0").groupBy("k").count().collect() if terms is not None else grams.select(F.explode(F.array_distinct("_grams")).alias("g")).groupBy("g").count().where("count >= 2").collect()
-        for r in rows:
-            if (k := r[0] if terms is not None else index.get(r[0])) is not None:
-                found[k] = r[1]
-        self.idf = np.log((1 + n) / (1 + found)) + 1
+        self.idf = IDF(inputCol="_tf").fit(self.vocabulary.transform(grams)).idf.toArray() + 1
         ready = self._vectors(df, text).select("_x", "_y", "_fold").cache()
         self.models = [self._fit(ready, n)]
         if self.calibrate:
