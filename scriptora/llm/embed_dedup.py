@@ -16,8 +16,9 @@ from scriptora.llm.common import materialise
 from scriptora.llm.components import connected_components, forest
 
 COSINE = 0.93
-#: Vectors of one cell, whose tree one task builds; vectors of the sample that the upper levels come from; a leaf of a tree.
-CELL, SAMPLE, LEAF = 2048, 16_384, 256
+#: Vectors of one cell, whose tree one task builds; vectors of the sample that the upper levels come from; a leaf of a tree; children of a node above the cells.
+CELL, SAMPLE, LEAF, FAN = 2048, 16_384, 256, 512
+NODE = "id long, label string, width int, centre binary, radius double"
 
 
 class CoverTree:
@@ -159,13 +160,90 @@ def _upper_levels(sample: pd.DataFrame, cells: dict[tuple, int]) -> dict[tuple,
     return out
 
 
-def near_vectors(df: DataFrame, cosine: float = COSINE, cell: int = CELL, sample: int = SAMPLE) -> DataFrame:
+def _nearest(frames: Iterator[pd.DataFrame], nets: dict[tuple, np.ndarray], vector: str, net: str) -> Iterator[pd.DataFrame]:
+    """frames with the place of each vector's nearest centre in the net of its label and width; 0 where there is none."""
+    for x in frames:
+        x[net] = 0
+        for key, rows in x.groupby(["label", "width"]).groups.items():
+            if (c := nets.get(key)) is not None and len(c) > 1:
+                points = np.frombuffer(b"".join(x.loc[rows, vector]), "<f8").reshape(len(rows), -1)
+                x.loc[rows, net] = np.argmax(points @ c.T, axis=1)
+        yield x
+
+
+def _dealt(df: DataFrame, net: str, row: str, most: int, to: str) -> DataFrame:
+    """df with a group number: the rows of one centre of a net, dealt by `row` where there are more than `most`."""
+    sizes = df.groupBy("label", "width", net).agg(F.ceil(F.count("*") / most).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64(row, F.lit(7)), F.col("chunks")).cast("int")
+    return df.join(sizes, ["label", "width", net]).withColumn(to, F.xxhash64("label", "width", net, chunk)).drop(net, "chunks")
+
+
+def _level_up(nodes: DataFrame, nets: dict[tuple, np.ndarray], fan: int) -> DataFrame:
+    """The level over nodes (NODE): nodes with the ids, centres and radii of at most about `fan` children near each other, and a covering radius."""
+
+    def pack(x: pd.DataFrame) -> pd.DataFrame:
+        centres = np.frombuffer(b"".join(x["centre"]), "<f8").reshape(len(x), -1)
+        radius = float((_distance(centres, centres[:1])[:, 0] + x["radius"].to_numpy()).max())
+        return pd.DataFrame({"id": [x["up"].iloc[0]], "label": [x["label"].iloc[0]], "width": [x["width"].iloc[0]], "centre": [centres[0].tobytes()], "radius": [radius], "ids": [x["id"].to_numpy("<i8").tobytes()], "centres": [centres.tobytes()], "radii": [x["radius"].to_numpy("<f8").tobytes()]})
+
+    found = nodes.mapInPandas(lambda frames: _nearest(frames, nets, "centre", "net"), NODE + ", net int")
+    return _dealt(found, "net", "id", fan, "up").groupBy("up").applyInPandas(pack, NODE + ", ids binary, centres binary, radii binary")
+
+
+def _level_down(pairs: DataFrame, level: DataFrame, cosine: float) -> DataFrame:
+    """Pairs (id <= other) of children whose covering radii leave room for a link, of such pairs of nodes of a level."""
+    far = math.sqrt(2 - 2 * cosine) + 1e-6
+    held = level.select("id", "ids", "centres", "radii")
+    second = level.select(F.col("id").alias("other"), F.col("ids").alias("ids2"), F.col("centres").alias("centres2"), F.col("radii").alias("radii2"))
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                ids, ids2 = (np.frombuffer(row[c], "<i8") for c in ("ids", "ids2"))
+                a, b = (np.frombuffer(row[c], "<f8").reshape(len(n), -1) for c, n in (("centres", ids), ("centres2", ids2)))
+                near = _distance(a, b) <= far + np.frombuffer(row["radii"], "<f8")[:, None] + np.frombuffer(row["radii2"], "<f8")[None]
+                if row["id"] == row["other"]:
+                    near &= ids[:, None] <= ids2[None]
+                x, y = (n[at] for n, at in zip((ids, ids2), np.nonzero(near), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["id", "other"])
+
+    return pairs.join(held, "id").join(second, "other").repartition("id", "other").mapInArrow(opened, "id long, other long")
+
+
+def near_cells(cells: DataFrame, nets: dict[tuple, np.ndarray], cosine: float = COSINE, fan: int = FAN) -> DataFrame:
+    """Pairs (id <= other, each cell with itself too) of cells (NODE, a written table) of a label between which links may be.
+
+    Levels are put over the cells until each label and width has one node, and
+    then gone down together: a pair of nodes that its covering radii rule out is
+    never opened, so rows are made for the pairs that are left, not for all.
+    nets holds centres, coarse ones first; a level uses the first of them. The
+    driver holds a count for each label.
+    """
+    if fan < 8:
+        raise ValueError("fan must be 8 at least, or levels do not shrink")
+    nodes, levels = cells.selectExpr("id", "label", "width", "centre", "radius"), []
+    while True:
+        counts = {(r["label"], r["width"]): r["n"] for r in nodes.groupBy("label", "width").agg(F.count("*").alias("n")).collect()}
+        if levels and max(counts.values(), default=0) <= 1:
+            break
+        coarse = {k: c[: -(-2 * counts[k] // fan)] for k, c in nets.items() if counts.get(k, 0) > fan}
+        levels.append(materialise(_level_up(nodes, coarse, fan), "level"))
+        nodes = levels[-1].selectExpr("id", "label", "width", "centre", "radius")
+    pairs = nodes.select("id", F.col("id").alias("other"))
+    for level in reversed(levels):
+        pairs = materialise(_level_down(pairs, level, cosine), "node-pairs")
+    return pairs
+
+
+def near_vectors(df: DataFrame, cosine: float = COSINE, cell: int = CELL, sample: int = SAMPLE, fan: int = FAN) -> DataFrame:
     """vec_id, n_links, component_id and kept of each vector (vec_id, embedding, label), links being cosine >= `cosine` within a label.
 
     The upper levels of each label's tree come from at most `sample` vectors;
     every vector goes to its nearest centre, and cells get at most about `cell`
     vectors, larger ones being dealt into several. Each cell has its true
-    covering radius, so pruning pairs of cells is exact whatever the sample.
+    covering radius, so pruning pairs of cells is exact whatever the sample;
+    levels of at most about `fan` children over the cells find the pairs.
     One task joins one pair of cells by dual traversal of their lower levels
     and emits link counts and a spanning forest, never the pairs. Equal vectors
     count once in the search. Vectors that are null, empty, zero or hold a null
@@ -188,38 +266,18 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, cell: int = CELL, sample
     few = distinct.where(low).select("label", "width", "unit", "rep").orderBy("rep").limit(2 * sample).toPandas()
     centres = _upper_levels(few, {k: -(-n // cell) * 2 for k, n in counts.items() if n > cell})
 
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            x["cell"] = 0
-            for key, rows in x.groupby(["label", "width"]).groups.items():
-                if (c := centres.get(key)) is not None and len(c) > 1:
-                    points = np.frombuffer(b"".join(x.loc[rows, "unit"]), "<f8").reshape(len(rows), -1)
-                    x.loc[rows, "cell"] = np.argmax(points @ c.T, axis=1)
-            yield x
-
-    placed = materialise(distinct.mapInPandas(assign, StructType([*distinct.schema.fields, StructField("cell", IntegerType())])), "cells")
-    sizes = placed.groupBy("label", "width", "cell").agg(F.ceil(F.count("*") / cell).cast("int").alias("chunks"))
-    placed = placed.join(sizes, ["label", "width", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int"))
+    placed = distinct.mapInPandas(lambda frames: _nearest(frames, centres, "unit", "cell"), StructType([*distinct.schema.fields, StructField("cell", IntegerType())]))
+    placed = _dealt(materialise(placed, "cells"), "cell", "rep", cell, "id").select("id", "label", "width", "unit", "rep", "n")
 
     def bundle(x: pd.DataFrame) -> pd.DataFrame:
         points = np.frombuffer(b"".join(x["unit"]), "<f8").reshape(len(x), -1)
         radius = float(_distance(points, points[:1]).max())
         return pd.DataFrame({"id": [x["id"].iloc[0]], "label": [x["label"].iloc[0]], "width": [x["width"].iloc[0]], "centre": [points[0].tobytes()], "radius": [radius], "units": [points.tobytes()], "reps": [x["rep"].to_numpy("<i8").tobytes()], "counts": [x["n"].to_numpy("<i8").tobytes()]})
 
-    placed = placed.withColumn("id", F.xxhash64("label", "width", "cell", "chunk")).select("id", "label", "width", "unit", "rep", "n")
     bundles = placed.groupBy("id").applyInPandas(bundle, "id long, label string, width int, centre binary, radius double, units binary, reps binary, counts binary")
     bundles = materialise(bundles, "bundles")
 
-    def close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            a, b = (np.stack([np.frombuffer(v, "<f8") for v in x[c]]) if len({len(v) for v in x[c]}) == 1 else None for c in ("centre", "other_centre"))
-            gaps = np.sqrt(np.maximum(0, 2 - 2 * (a * b).sum(axis=1))) if a is not None else np.array([math.dist(np.frombuffer(p, "<f8"), np.frombuffer(q, "<f8")) for p, q in zip(x["centre"], x["other_centre"], strict=True)])
-            yield x.loc[gaps <= x["radius"] + x["other_radius"] + math.sqrt(2 - 2 * cosine) + 1e-6, ["id", "other"]]
-
-    meta = bundles.select("id", "label", "width", "centre", "radius")
-    others = meta.select(F.col("id").alias("other"), "label", "width", F.col("centre").alias("other_centre"), F.col("radius").alias("other_radius"))
-    pairs = meta.join(others, ["label", "width"]).where("id <= other").select("id", "centre", "radius", "other", "other_centre", "other_radius").mapInPandas(close, "id long, other long")
-    pairs = materialise(pairs, "cell-pairs")
+    pairs = near_cells(bundles, centres, cosine, fan)
     held = bundles.select("id", "units", "reps", "counts")
     second = held.select(F.col("id").alias("other"), F.col("units").alias("units2"), F.col("reps").alias("reps2"), F.col("counts").alias("counts2"))
 

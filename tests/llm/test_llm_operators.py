@@ -229,6 +229,37 @@ def test_vectors_against_all_pairs(spark, cell):
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_levels_over_cells_find_every_pair_of_cells_that_bounds_leave(spark):
+    draw = np.random.default_rng(4)
+    rows, cells = [], {}
+    for k in range(300):
+        c = draw.normal(size=4)
+        c = c / np.linalg.norm(c)
+        label, radius = ("a", "b", "c")[(k % 20 > 12) + (k == 299)], float(draw.random() * 0.1)
+        cells[k] = (label, c, radius)
+        rows.append((k, label, 32, c.astype("<f8").tobytes(), radius))
+    df = spark.createDataFrame(rows, embed_dedup.NODE)
+    nets = {(x, 32): np.array([c for y, c, _ in cells.values() if y == x][:60]) for x in "ab"}
+    found = [(r["id"], r["other"]) for r in embed_dedup.near_cells(df, nets, 0.93, fan=8).collect()]
+    far = (2 - 2 * 0.93) ** 0.5
+    want = {(i, j) for i in cells for j in cells if i <= j and cells[i][0] == cells[j][0] and np.linalg.norm(cells[i][1] - cells[j][1]) <= far + cells[i][2] + cells[j][2]}
+    assert len(found) == len(set(found)) and set(found) == want
+    assert len(found) < 299 * 300 / 4
+    assert embed_dedup.near_cells(df.limit(0), nets).count() == 0
+    with pytest.raises(ValueError):
+        embed_dedup.near_cells(df, nets, fan=4)
+
+
+def test_vectors_link_alike_under_several_levels(spark):
+    draw = np.random.default_rng(5)
+    seeds = draw.normal(size=(40, 6))
+    rows = [(k, [float(x) for x in seeds[k % 40] + draw.normal(size=6) * 0.12], k % 2) for k in range(400)]
+    links, components = brute_vectors(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(df, cell=4, fan=8).collect()}
+    assert found == {k: (links[k], components[k]) for k, _, _ in rows}
+
+
 def test_cover_tree_covers_and_nests():
     points = np.random.default_rng(2).normal(size=(300, 5))
     points /= np.linalg.norm(points, axis=1, keepdims=True)
