@@ -8,6 +8,7 @@ import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -205,8 +206,8 @@ def _own_text(tree: Tree) -> list[int]:
     return out
 
 
-def _excluded(tree: Tree, k: int, in_main: bool) -> bool:
-    tag, marks = tree.tag[k], tree.marks[k]
+@lru_cache(1 << 14)
+def _excluded(tag: str, marks: str, in_main: bool) -> bool:
     if tag in NO_CONTENT or tag == "header" and not in_main:
         return True
     if not marks:
@@ -220,6 +221,22 @@ def _excluded(tree: Tree, k: int, in_main: bool) -> bool:
     return False
 
 
+def _copies(tree: Tree, texts: list[int], to: list[int], own: list[int], share: float) -> bool:
+    """Whether at least that share of a page's text outside excluded elements is what the wrapper's page has in the same slots.
+
+    The wrapper's page, its copies and near-copies have the article itself in
+    common, so they cannot tell article from template.
+    """
+    skip, equal, every = [False] * len(texts), 0, 0
+    for k in range(1, len(texts)):
+        skip[k] = skip[tree.parent[k]] or _excluded(tree.tag[k], tree.marks[k], False)
+        if texts[k] and not skip[k]:
+            size = sum(len(x) for x in tree.items[k] if isinstance(x, str))
+            every += size
+            equal += size * (to[k] >= 0 and texts[k] == own[to[k]])
+    return every > 0 and equal >= share * every
+
+
 def extract(tree: Tree, template: frozenset[int] = frozenset(), to: list[int] | None = None) -> str:
     """The page's main text: blocks in page order joined by newlines.
 
@@ -236,7 +253,7 @@ def extract(tree: Tree, template: frozenset[int] = frozenset(), to: list[int] |
     for k in range(1, n):
         above = tree.parent[k]
         inside[k] = inside[above] or tree.tag[k] in MAIN or "role=main" in tree.marks[k]
-        skip[k] = skip[above] or _excluded(tree, k, inside[above])
+        skip[k] = skip[above] or _excluded(tree.tag[k], tree.marks[k], inside[above])
         linked[k] = linked[above] or tree.tag[k] == "a"
         some_main |= inside[k] and not skip[k]
 
@@ -314,9 +331,9 @@ def main_text(df: DataFrame, least_pages: int = LEAST_PAGES, same: float = SAME,
     """page_id, url, text and n_chars of each row of df (page_id, url, html), from the whole html.
 
     A host's wrapper is the tree of its first page. Every page of the host is
-    aligned with it, and all pages together tell which slots are constant:
-    counts by host and slot, combined in each task, so a host with a third of
-    all pages sends no more than any other. Then each page is aligned again and
+    aligned with it, and all pages together, but for near-copies of the first,
+    tell which slots are constant: counts by host and slot, combined in each
+    task, so a host with a third of all pages sends no more than any other. Then each page is aligned again and
     read. Wrappers go to all tasks at once while they take up to broadcast_mb,
     and beyond that pages are joined with their host's, dealt over salts.
     Null, empty and broken html give what text they have, at worst none;
@@ -357,7 +374,10 @@ def main_text(df: DataFrame, least_pages: int = LEAST_PAGES, same: float = SAME,
 
         for batch in batches:
             for host, tree, to, own in aligned(batch):
-                for k, (slot, text) in enumerate(zip(to or (), _own_text(tree) if to else (), strict=True)):
+                texts = _own_text(tree) if to else []
+                if not to or _copies(tree, texts, to, own, same):
+                    continue
+                for slot, text in zip(to, texts, strict=True):
                     if slot >= 0 and text:
                         pair = totals[host, slot]
                         pair[0] += 1

@@ -88,6 +88,17 @@ def test_html_edges_and_both_ways_of_sending_wrappers(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def test_copies_of_the_wrappers_page_do_not_make_its_article_template(spark):
+    body = "".join(f"<p>{' '.join(f'word{k}of{n}' for k in range(12))}</p>" for n in range(8))
+    box = "<div>Write to us at any time</div>"
+    page = lambda title, text: f"<html><body>{box}<div><h1>{title}</h1>{text}</div></body></html>"
+    rows = [(k, "http://h.example/", page(f"Copy {k}", body.replace("word3of2", f"other{k}"))) for k in range(40)]
+    rows += [(100 + k, "http://h.example/", page(f"Own {k}", f"<p>{' '.join(f'own{k}at{n}' for n in range(40))}</p>")) for k in range(6)]
+    texts = {r["page_id"]: r["text"].split("\n") for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(len(texts[k]) == 9 and texts[k][0] == f"Copy {k}" for k in range(40))
+    assert all(len(texts[100 + k]) == 2 and texts[100 + k][0] == f"Own {k}" for k in range(6))  # the box is the same on unlike pages: template
+
+
 def test_tree_matching_finds_the_best_order_preserving_match():
     def shape(spec):
         labels, children = [], []
