@@ -64,7 +64,7 @@ def train(rows: Iterable[tuple[str, int]], smoothing: float = 0.5) -> MarkovMode
 
 
 def labelled_sample(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, int]]:
-    """2 n labelled strings: n drawn from the alphabets in which keys are written, n put together from the names of Python's own library as identifiers, paths and versions are."""
+    """2 n labelled strings: n drawn from the alphabets in which keys are written, n put together from the names of Python's own library as identifiers, paths and versions are, some with a run of one character as in rulers, forms and padding."""
     draw = random.Random(seed)
     alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef", "0123456789ABCDEF"]
     out = [("".join(draw.choices(draw.choice(alphabets), k=draw.randint(20, 64))), 1) for _ in range(n)]
@@ -74,6 +74,9 @@ def labelled_sample(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, int]]
         text = draw.choice(joins)([draw.choice(words) for _ in range(draw.randint(2, 6))])
         if draw.random() < 0.5:
             text += draw.choice(["_v", "-", "_", "/", ""]) + str(draw.randint(0, draw.choice([9, 99, 2100])))
+        if draw.random() < 0.1:
+            run = draw.choice(ALPHABET) * draw.randint(8, 40)
+            text = run + text if draw.random() < 0.5 else text + run
         if len(text) >= 12:
             out.append((text, 0))
     return out

@@ -533,6 +533,12 @@ def test_secret_edges_and_redaction(edge_docs, no_docs):
     assert out[7]["text"] == 'x [secret]" y' and out[7]["n_chars"] == len(out[7]["text"]) and out[6]["text"] == "word " * 9000 and out[1]["text"] is None
 
 
+def test_rulers_and_padding_are_not_secrets():
+    model = secret_scan.train(secret_scan.labelled_sample())
+    texts = [f"{before}{c * 24}{after}" for c in secret_scan.ALPHABET if c not in "0123456789abcdef" for before, after in (("", "1a"), ("a1", ""), ("part2", "end"))]
+    assert not [x for x in texts if secret_scan.model_spans(x, [], model)]
+
+
 # 10 quality
 
 
