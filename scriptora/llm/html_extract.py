@@ -6,13 +6,13 @@ import html
 import re
 import sys
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptora.llm.common import materialise
@@ -38,6 +38,8 @@ NO_CLASS = frozenset(
 MAIN = frozenset(("article", "main"))
 #: A slot is template where at least this many pages of the host have it and at least this share of them has the same text there.
 LEAST_PAGES, SAME = 4, 0.8
+#: The share of a host's pages, those most unlike its first, that tell its boilerplate; a page with fewer words of its own than OWN_WORDS is no evidence of another article.
+FAR, OWN_WORDS = 0.1, 8
 #: Elements nested deeper are read as neighbours, as browsers do.
 DEEPEST = 512
 
@@ -221,20 +223,32 @@ def _excluded(tag: str, marks: str, in_main: bool) -> bool:
     return False
 
 
-def _copies(tree: Tree, texts: list[int], to: list[int], own: list[int], share: float) -> bool:
-    """Whether at least that share of a page's text outside excluded elements is what the wrapper's page has in the same slots.
-
-    The wrapper's page, its copies and near-copies have the article itself in
-    common, so they cannot tell article from template.
-    """
-    skip, equal, every = [False] * len(texts), 0, 0
+def _compared(tree: Tree, texts: list[int], to: list[int], own: list[int]) -> tuple[list[tuple[int, int, bool]], int, int]:
+    """(node, length, same) of each node with text outside excluded elements, where same is whether the wrapper's page has that text in the same slot; the length of all and of the same ones."""
+    skip, nodes = [False] * len(texts), []
     for k in range(1, len(texts)):
         skip[k] = skip[tree.parent[k]] or _excluded(tree.tag[k], tree.marks[k], False)
         if texts[k] and not skip[k]:
-            size = sum(len(x) for x in tree.items[k] if isinstance(x, str))
-            every += size
-            equal += size * (to[k] >= 0 and texts[k] == own[to[k]])
-    return every > 0 and equal >= share * every
+            nodes.append((k, sum(len(x) for x in tree.items[k] if isinstance(x, str)), to[k] >= 0 and texts[k] == own[to[k]]))
+    return nodes, sum(n for _, n, _ in nodes), sum(n for _, n, same in nodes if same)
+
+
+def _words(tree: Tree, k: int) -> Counter:
+    return Counter(" ".join(x for x in tree.items[k] if isinstance(x, str)).split())
+
+
+def _copies(tree: Tree, texts: list[int], to: list[int], first: Tree, own: list[int], boilerplate: frozenset[int], share: float) -> bool:
+    """Whether a page that has at least that share of its text in common with the wrapper's page has the article in common too.
+
+    It has if at least that share is the same without the slots that are the
+    same on the host's most unlike pages, or if hardly a word is its own.
+    Copies cannot tell article from template.
+    """
+    nodes, _, _ = _compared(tree, texts, to, own)
+    rest = [(n, same) for k, n, same in nodes if not (same and to[k] in boilerplate)]
+    if sum(n for n, same in rest if same) >= share * sum(n for n, _ in rest):
+        return True
+    return sum((_words(tree, k) - (_words(first, to[k]) if to[k] >= 0 else Counter())).total() for k, _, same in nodes if not same) < OWN_WORDS
 
 
 def extract(tree: Tree, template: frozenset[int] = frozenset(), to: list[int] | None = None) -> str:
@@ -297,18 +311,18 @@ def _host() -> F.Column:
 
 
 class Wrappers:
-    """Each host's first tree, the slots of its wrapper, as (labels, children, own texts); made anew in each Python worker."""
+    """Each host's first tree, the slots of its wrapper, as (shape, own texts, tree); made anew in each Python worker."""
 
     def __init__(self, pages: dict[str, str]):
         self.pages, self.made = pages, {}
 
-    def of(self, host: str) -> tuple[Shape, list[int]] | None:
+    def of(self, host: str) -> tuple[Shape, list[int], Tree] | None:
         if _forget() or len(self.made) > 5000:
             self.made.clear()
         if host not in self.made:
             source = self.pages.get(host)
             tree = None if source is None else Tree(source)
-            self.made[host] = tree and (Shape(tree.label, tree.children), _own_text(tree))
+            self.made[host] = tree and (Shape(tree.label, tree.children), _own_text(tree), tree)
         return self.made[host]
 
 
@@ -332,9 +346,11 @@ def main_text(df: DataFrame, least_pages: int = LEAST_PAGES, same: float = SAME,
 
     A host's wrapper is the tree of its first page. Every page of the host is
     aligned with it, and all pages together, but for near-copies of the first,
-    tell which slots are constant: counts by host and slot, combined in each
-    task, so a host with a third of all pages sends no more than any other. Then each page is aligned again and
-    read. Wrappers go to all tasks at once while they take up to broadcast_mb,
+    tell which slots are constant: counts by host, likeness and slot, combined
+    in each task, so a host with a third of all pages sends no more than any
+    other. Pages that are mostly like the first are counted in a second pass,
+    once the most unlike ones have told what is boilerplate. Then each page is
+    aligned again and read. Wrappers go to all tasks at once while they take up to broadcast_mb,
     and beyond that pages are joined with their host's, dealt over salts.
     Null, empty and broken html give what text they have, at worst none;
     pages without a host share one wrapper; repeated rows stay.
@@ -353,9 +369,11 @@ def main_text(df: DataFrame, least_pages: int = LEAST_PAGES, same: float = SAME,
         given = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"], "left").drop("salt")
     given = given.select("page_id", "url", "host", "html", "wrapper")
 
-    def aligned(batch: pa.RecordBatch) -> Iterator[tuple[str, Tree, list[int], list[int] | None]]:
+    def aligned(batch: pa.RecordBatch, only: dict | None = None) -> Iterator[tuple[str, Tree, list[int], tuple | None]]:
         local = None
         for host, source, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
+            if only is not None and host not in only:
+                continue
             if small:
                 found = held.value.of(host)
             else:
@@ -363,40 +381,74 @@ def main_text(df: DataFrame, least_pages: int = LEAST_PAGES, same: float = SAME,
                     local = Wrappers({host: wrapper})
                 found = local.of(host)
             tree = Tree(source or "")
-            yield host, tree, align(found[0], Shape(tree.label, tree.children)) if found else None, found and found[1]
+            yield host, tree, align(found[0], Shape(tree.label, tree.children)) if found else None, found
+
+    def with_slots(table: DataFrame) -> tuple[DataFrame, object]:
+        """given with the slots of its host in table (host, slots), or with nulls and a broadcast of all hosts' slots."""
+        if small:
+            return given.withColumn("slots", F.lit(None).cast("array<int>")), spark.sparkContext.broadcast({r["host"]: frozenset(r["slots"]) for r in table.toLocalIterator()})
+        spread = table.select(F.col("host").alias("_host"), "slots", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
+        return given.join(spread, (F.col("host") == F.col("_host")) & (F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int") == F.col("_salt")), "left").drop("_host", "_salt"), None
+
+    def add(totals: dict, key: tuple, to: list[int], texts: list[int], own: list[int]) -> None:
+        totals[*key, -1][0] += 1
+        for slot, text in zip(to, texts, strict=True):
+            if slot >= 0 and text:
+                pair = totals[*key, slot]
+                pair[0] += 1
+                pair[1] += text == own[slot]
+
+    def sums(totals: dict) -> pa.RecordBatch:
+        keys = list(totals)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([totals[k][0] for k in keys], pa.int64()), pa.array([totals[k][1] for k in keys], pa.int64())], ["host", "like", "slot", "pages", "equal"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
-
-        def out() -> pa.RecordBatch:
-            keys = list(totals)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([totals[k][0] for k in keys], pa.int64()), pa.array([totals[k][1] for k in keys], pa.int64())], ["host", "slot", "pages", "equal"])
-
+        """Counts by likeness to the wrapper's page: -1 without text, else twentieths, from 100 on for pages that may be copies; slot -1 counts pages."""
+        totals: dict[tuple[str, int, int], list[int]] = defaultdict(lambda: [0, 0])
         for batch in batches:
-            for host, tree, to, own in aligned(batch):
-                texts = _own_text(tree) if to else []
-                if not to or _copies(tree, texts, to, own, same):
+            for host, tree, to, found in aligned(batch):
+                if not to:
                     continue
-                for slot, text in zip(to, texts, strict=True):
-                    if slot >= 0 and text:
-                        pair = totals[host, slot]
-                        pair[0] += 1
-                        pair[1] += text == own[slot]
+                texts = _own_text(tree)
+                _, every, equal = _compared(tree, texts, to, found[1])
+                if every == 0 or equal < every:
+                    add(totals, (host, 20 * equal // every + 100 * (equal >= same * every) if every else -1), to, texts, found[1])
             if len(totals) > 500_000:
-                yield out()
+                yield sums(totals)
                 totals.clear()
         if totals:
-            yield out()
+            yield sums(totals)
+
+    types = "host string, like int, slot int, pages long, equal long"
+    counts = materialise(given.select("host", "html", "wrapper").mapInArrow(count, types).groupBy("host", "like", "slot").agg(F.sum("pages").alias("pages"), F.sum("equal").alias("equal")), "slots")
+    by_like = counts.where("slot = -1 and like >= 0").withColumn("upto", F.sum("pages").over(Window.partitionBy("host").orderBy("like"))).withColumn("every", F.sum("pages").over(Window.partitionBy("host")))
+    far = by_like.groupBy("host").agg(F.coalesce(F.min(F.when((F.col("upto") >= least_pages) & (F.col("upto") >= FAR * F.col("every")), F.col("like"))), F.max("like")).alias("far"), F.max("like").alias("most")).where("most >= 100").select(F.col("host").alias("_host"), "far")
+    unlike = counts.join(far, F.col("host") == F.col("_host")).where("like between 0 and far").groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.sum("equal").alias("equal"))
+    unlike = unlike.withColumn("every", F.max(F.when(F.col("slot") == -1, F.col("pages"))).over(Window.partitionBy("host")))
+    unlike = materialise(unlike.groupBy("host").agg(F.collect_list(F.when((F.col("slot") >= 0) & (2 * F.col("pages") >= F.col("every")) & (F.col("equal") >= same * F.col("pages")), F.col("slot"))).alias("slots")), "boilerplate")
+    likely, boilerplate = with_slots(unlike)
+
+    def count_like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[str, int, int], list[int]] = defaultdict(lambda: [0, 0])
+        for batch in batches:
+            held_slots = iter(batch.column("slots").to_pylist())
+            for host, tree, to, found in aligned(batch, boilerplate.value if small else None):
+                known = boilerplate.value[host] if small else next(held_slots)
+                if not to or known is None:
+                    continue
+                texts = _own_text(tree)
+                _, every, equal = _compared(tree, texts, to, found[1])
+                if same * every <= equal < every and not _copies(tree, texts, to, found[2], found[1], frozenset(known), same):
+                    add(totals, (host, 100), to, texts, found[1])
+            if len(totals) > 500_000:
+                yield sums(totals)
+                totals.clear()
+        if totals:
+            yield sums(totals)
 
-    counts = given.select("host", "html", "wrapper").mapInArrow(count, "host string, slot int, pages long, equal long")
-    constant = counts.groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.sum("equal").alias("equal")).where((F.col("pages") >= least_pages) & (F.col("equal") >= same * F.col("pages")))
-    template = materialise(constant.groupBy("host").agg(F.collect_list("slot").alias("slots")), "templates")
-    if small:
-        table = spark.sparkContext.broadcast({r["host"]: frozenset(r["slots"]) for r in template.toLocalIterator()})
-        given = given.withColumn("slots", F.lit(None).cast("array<int>"))
-    else:
-        spread = template.select(F.col("host").alias("_host"), "slots", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
-        given = given.join(spread, (F.col("host") == F.col("_host")) & (F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int") == F.col("_salt")), "left").drop("_host", "_salt")
+    counts = counts.where("like < 100").unionByName(likely.select("host", "html", "wrapper", "slots").mapInArrow(count_like, types))
+    constant = counts.where("slot >= 0").groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.sum("equal").alias("equal")).where((F.col("pages") >= least_pages) & (F.col("equal") >= same * F.col("pages")))
+    given, table = with_slots(materialise(constant.groupBy("host").agg(F.collect_list("slot").alias("slots")), "templates"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

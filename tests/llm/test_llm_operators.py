@@ -99,6 +99,25 @@ def test_copies_of_the_wrappers_page_do_not_make_its_article_template(spark):
     assert all(len(texts[100 + k]) == 2 and texts[100 + k][0] == f"Own {k}" for k in range(6))  # the box is the same on unlike pages: template
 
 
+@pytest.mark.parametrize("broadcast_mb", [64, -1])
+def test_long_boilerplate_over_short_articles_is_template(spark, broadcast_mb):
+    notices = "".join(f"<div>{' '.join(f'notice{n}word{k}' for k in range(30))}</div>" for n in range(8))
+    own = lambda k: " ".join(f"own{k}at{n}" for n in range(12))
+    rows = [(k, "http://h.example/", f"<html><body>{notices}<div><p>{own(k)}</p></div></body></html>") for k in range(12)]
+    rows += [(50, "http://h.example/", rows[0][2]), (51, "http://h.example/", "<html><body><table><tr><td>not found</table></body></html>")]
+    texts = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_mb=broadcast_mb).collect()}
+    assert all(texts[k] == own(k) for k in range(12)) and texts[50] == own(0) and texts[51] == "not found"
+
+
+def test_copies_with_a_paragraph_of_their_own_stay_whole(spark):
+    body = [f"<p>{' '.join(f'word{k}of{n}' for k in range(12))}</p>" for n in range(8)]
+    page = lambda text: f"<html><body><div>Write to us at any time</div><div>{text}</div></body></html>"
+    rows = [(k, "http://h.example/", page("".join([*body[:2], f"<p>{' '.join(f'new{k}at{n}' for n in range(12))}</p>", *body[3:]]))) for k in range(40)]
+    rows += [(100 + k, "http://h.example/", page(f"<p>{' '.join(f'own{k}at{n}' for n in range(40))}</p>")) for k in range(6)]
+    texts = {r["page_id"]: r["text"].split("\n") for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(len(texts[k]) == 8 for k in range(40)) and all(len(texts[100 + k]) == 1 for k in range(6))
+
+
 def test_tree_matching_finds_the_best_order_preserving_match():
     def shape(spec):
         labels, children = [], []
