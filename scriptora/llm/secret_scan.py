@@ -26,9 +26,13 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Words of which one must occur for ASSIGN to match.
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Strings that the models judge: long enough, of a token's characters.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: What ends a part of a candidate.
+ENDS = "/=_-"
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 SEED, SAMPLES, THRESHOLD = 11, 4000, 0.5
+#: A window of a candidate must be this long and its summed log-likelihood ratio at least this; a candidate of at least WHOLE characters is taken whole if its mean is over THRESHOLD.
+LEAST, EVIDENCE, WHOLE = 12, 11.0, 20
 
 
 @dataclass(frozen=True)
@@ -37,14 +41,18 @@ class MarkovModel:
 
     ratio: tuple[tuple[float, ...], ...]
 
-    def score(self, text: str) -> float:
-        """Mean log-likelihood ratio a character in nats; above 0 the text is more like a random string."""
-        total, at = 0.0, 0
+    def ratios(self, text: str) -> list[float]:
+        """The log-likelihood ratio of each character in nats."""
+        out, at = [], 0
         for c in text:
             k = _PLACE[c]
-            total += self.ratio[at][k]
+            out.append(self.ratio[at][k])
             at = k + 1
-        return total / max(1, len(text))
+        return out
+
+    def score(self, text: str) -> float:
+        """Mean log-likelihood ratio a character in nats; above 0 the text is more like a random string."""
+        return sum(self.ratios(text)) / max(1, len(text))
 
 
 _PLACE = {c: k for k, c in enumerate(ALPHABET)}
@@ -91,13 +99,56 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
+def _mixed(text: str) -> bool:
+    return any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
+
+
+def _windows(found: str, ratios: list[float], threshold: float) -> list[tuple[int, int]]:
+    """Random windows of a candidate, each widened to whole parts: the one with the greatest sum of ratios over threshold, then those beside it."""
+    out, todo = [], [(0, len(found))]
+    while todo:
+        low, high = todo.pop()
+        best, a, b, total, start = 0.0, low, low, 0.0, low
+        for k in range(low, high):
+            total += ratios[k] - threshold
+            if total <= 0:
+                total, start = 0.0, k + 1
+            elif total > best:
+                best, a, b = total, start, k + 1
+        if best <= 0:
+            continue
+        left = a
+        while a < b and found[a] in ENDS:
+            a += 1
+        enough = b - a >= LEAST and _mixed(found[a:b]) and sum(ratios[a:b]) >= EVIDENCE
+        if enough:
+            while a > low and found[a - 1] not in ENDS:
+                a -= 1
+            while b < high and found[b] not in ENDS:
+                b += 1
+            out.append((a, b))
+        todo += [(x, y) for x, y in ((low, min(a, left)), (b, high)) if y - x >= LEAST]
+    return out
+
+
 def model_spans(text: str, base: list[tuple[int, int, int]], model: MarkovModel, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """Further spans: candidates clear of the base ones, with a digit and a letter, that the models call random by over threshold a character."""
+    """Further spans, what the base ones leave of strings that the models call random: candidates with a digit and a letter, whole by their mean or else windows of them."""
     out = []
     for m in CANDIDATE.finditer(text):
-        found = m[0]
-        if any(c.isdigit() for c in found) and any(c.isalpha() for c in found) and not any(a < m.end() and m.start() < b for a, _, b in base) and model.score(found) > threshold:
-            out.append((m.start(), 3, m.end()))
+        found, at = m[0], m.start()
+        if not _mixed(found):
+            continue
+        ratios = model.ratios(found)
+        whole = len(found) >= WHOLE and sum(ratios) > threshold * len(found)
+        for a, b in [(0, len(found))] if whole else _windows(found, ratios, threshold):
+            a, b = at + a, at + b
+            for x, _, y in base:
+                if x < b and a < y:
+                    if a < x:
+                        out.append((a, 3, x))
+                    a = max(a, y)
+            if a < b:
+                out.append((a, 3, b))
     return out
 
 

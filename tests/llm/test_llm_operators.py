@@ -558,6 +558,22 @@ def test_rulers_and_padding_are_not_secrets():
     assert not [x for x in texts if secret_scan.model_spans(x, [], model)]
 
 
+def test_keys_in_paths_and_assignments_and_around_hex_are_found_whole():
+    model = secret_scan.train(secret_scan.labelled_sample())
+    draw = random.Random(8)
+    keys = [k for k in ("".join(draw.choices(secret_scan.ALPHABET[:62], k=n)) for n in (16, 20, 24) for _ in range(100)) if any(c.isdigit() for c in k) and any(c.isalpha() for c in k)]
+    for before in ("", "client_secret_access_key=", "/srv/data/releases/archive/customers/settings/"):
+        right = 0
+        for key in keys:
+            text = f"see {before}{key} here"
+            spans = secret_scan.model_spans(text, secret_scan.base_spans(text), model)
+            right += any(a <= text.rindex(key) and text.rindex(key) + len(key) <= b for a, _, b in spans)
+        assert right >= 0.9 * len(keys), before
+    text = "see zQ8vKx2LmN7p0123456789abcdefRt4WyB9cDf3H here"
+    base = secret_scan.base_spans(text)
+    assert sorted(base + secret_scan.model_spans(text, base, model)) == [(4, 3, 16), (16, 2, 32), (32, 3, 44)]
+
+
 # 10 quality
 
 
