@@ -15,10 +15,12 @@ from scriptora.llm.common import SPACES, materialise
 
 SYMBOLS = "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-#: What each transformed statistic varies by at least, as a standard deviation: most texts have no symbols or repeats at all, and short ones vary more than long ones.
+#: Standard deviations that keep the covariance invertible while the nearest half of a group is looked for; no verdict uses them.
 FLOOR = np.array([0.10, 0.06, 0.12, 0.10])
+#: By what a text's own length lets the statistics vary: a word's log length, and one symbol, one repeated line and one repeated three-word phrase.
+NOISE = np.array([0.8, 1.5, 1.5, 1.5])
 #: Half of the rows fit each estimate; rows beyond the quantile are rejected; least rows of a group for an estimate of its own.
-HALF, QUANTILE, STEPS, LEAST = 0.5, 0.99999, 4, 50
+HALF, QUANTILE, STEPS, LEAST = 0.5, 0.999, 4, 50
 
 
 def statistics(text: str) -> tuple[int, ...]:
@@ -56,10 +58,16 @@ def chi2_quantile(p: float, k: int) -> float:
     return k * (1 - 2 / (9 * k) + z * (2 / (9 * k)) ** 0.5) ** 3
 
 
-def distances(x: np.ndarray, mean: np.ndarray, precision: np.ndarray) -> np.ndarray:
-    """Squared Mahalanobis distances."""
+def noise(stats: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Variances of the transformed statistics of texts of these lengths: of a mean over the words, and of counts of rare events with at least one expected."""
+    words, lines, rate = np.maximum(stats[:, 0], 1.0), np.maximum(stats[:, 5], 1.0), np.maximum(mean, 0.0)
+    return NOISE**2 * np.stack([1 / words, 1 / words**2 + rate[1] / words, 1 / lines**2 + rate[2] / lines, 9 / words**2 + 3 * rate[3] / words], axis=1)
+
+
+def distances(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Squared Mahalanobis distances; cov has a matrix for each row of x."""
     d = x - mean
-    return np.einsum("ij,jk,ik->i", d, precision, d)
+    return np.einsum("ij,ij->i", d, np.linalg.solve(cov, d[..., None])[..., 0])
 
 
 def measure(df: DataFrame) -> DataFrame:
@@ -75,7 +83,7 @@ def measure(df: DataFrame) -> DataFrame:
 
 
 def fit(stats: DataFrame, half: float = HALF, steps: int = STEPS, least: int = LEAST) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
-    """Mean and precision of each (lang, source) from a written table of statistics, and under (None, None, None) of all.
+    """Mean and covariance of each (lang, source) from a written table of statistics, and under (None, None, None) of all.
 
     Deterministic start at the medians and median deviations, then
     concentration steps: the half of a group's rows that is nearest by
@@ -83,8 +91,8 @@ def fit(stats: DataFrame, half: float = HALF, steps: int = STEPS, least: int = L
     can only fall. Each step is one histogram of distances and one sum over all
     rows, both combined before they are shuffled, so a group may hold any share
     of the rows. The driver holds a few numbers a group. Rows that fail the base
-    rules take no part. The covariance has FLOOR's variances added; groups
-    under `least` rows use the estimate of all rows.
+    rules take no part. FLOOR's variances are added while the half is looked
+    for, not to the result; groups under `least` use the estimate of all rows.
     """
     names = ["x0", "x1", "x2", "x3"]
     words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
@@ -97,6 +105,7 @@ def fit(stats: DataFrame, half: float = HALF, steps: int = STEPS, least: int = L
     groups = {k for k, r in start.items() if r["n"] >= least or not k[0]}
     spark = stats.sparkSession
     state = {k: (np.array([start[k][c] for c in names]), np.diag(1 / FLOOR**2)) for k in groups}
+    covs = {k: np.diag(FLOOR**2) for k in groups}
     scale = float(chi2_quantile(half, len(names)))
     for _ in range(steps if groups else 0):
         table = spark.createDataFrame([(k, mean.tolist(), precision.ravel().tolist()) for k, (mean, precision) in state.items()], "g struct<own:int,lang:string,source:string>, mean array<double>, precision array<double>")
@@ -111,9 +120,9 @@ def fit(stats: DataFrame, half: float = HALF, steps: int = STEPS, least: int = L
         for r in sums:
             mean = np.array([r[c] for c in names]) / r["n"]
             moments = np.array([[r[f"p{min(a, b)}{max(a, b)}"] for b in range(len(names))] for a in range(len(names))]) / r["n"]
-            cov = moments - np.outer(mean, mean)
-            state[key(r["g"])] = (mean, np.linalg.inv(cov * _consistency(half, len(names), scale) + np.diag(FLOOR**2)))
-    return {(None, None, None) if not k[0] else k: v for k, v in state.items()}
+            cov = (moments - np.outer(mean, mean)) * _consistency(half, len(names), scale)
+            state[key(r["g"])], covs[key(r["g"])] = (mean, np.linalg.inv(cov + np.diag(FLOOR**2))), cov
+    return {(None, None, None) if not k[0] else k: (mean, covs[k]) for k, (mean, _) in state.items()}
 
 
 def _consistency(half: float, k: int, cut: float) -> float:
@@ -125,7 +134,7 @@ def _consistency(half: float, k: int, cut: float) -> float:
 
 
 def verdicts(stats: np.ndarray, langs: list, sources: list, model: dict, quantile: float = QUANTILE) -> np.ndarray:
-    """Whether each row is kept: the base rules, then its group's distance."""
+    """Whether each row is kept: the base rules, then its distance by its group's covariance and its own length's noise."""
     kept = ~base_failed(stats)
     if not model or not len(stats):
         return kept
@@ -134,9 +143,9 @@ def verdicts(stats: np.ndarray, langs: list, sources: list, model: dict, quantil
     for row, key in enumerate(zip(langs, sources, strict=True)):
         of.setdefault(key, []).append(row)
     for (lang, source), own in of.items():
-        mean, precision = model.get((1, lang, source)) or model[None, None, None]
+        mean, cov = model.get((1, lang, source)) or model[None, None, None]
         own = np.array(own)
-        kept[own] &= distances(x[own], mean, precision) <= limit
+        kept[own] &= distances(x[own], mean, cov + noise(stats[own], mean)[:, :, None] * np.eye(len(mean))) <= limit
     return kept
 
 

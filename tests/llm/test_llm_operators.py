@@ -606,6 +606,17 @@ def test_estimates_resist_outliers(spark):
     assert kept[:600].all() and not kept[600:].any()
 
 
+def test_texts_far_from_a_tight_group_are_rejected_by_their_length(spark):
+    draw = np.random.default_rng(7)
+    rows = [(k, "en", "a", 400, int(400 * np.exp(1.6 + 0.03 * draw.normal())), int(draw.random() < 0.1), int(draw.random() < 0.1), 3 * int(draw.random() < 0.1), 20) for k in range(600)]
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality.STATS)))
+    far = [(400, 1980, 0, 10, 80, 20), (400, 1980, 0, 10, 0, 20), (400, 1980, 60, 0, 0, 20), (400, 2700, 0, 0, 0, 20)]
+    short = [(60, 290, 1, 0, 0, 5), (60, 300, 0, 1, 0, 5), (60, 310, 0, 0, 3, 5)]
+    stats = np.array([r[3:] for r in rows] + far + short)
+    kept = quality.verdicts(stats, ["en"] * len(stats), ["a"] * len(stats), model)
+    assert kept[:600].mean() >= 0.99 and not kept[600:604].any() and kept[604:].all()
+
+
 def test_quality_edges(edge_docs, no_docs):
     rows = {str(r["doc_id"]): r for r in quality.judge(edge_docs).collect()}
     assert len(rows) == 9 and rows["1"]["n_words"] == 0 and rows["6"]["base_failed"]
