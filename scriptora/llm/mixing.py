@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -103,7 +105,8 @@ def mix(df: DataFrame, **how) -> DataFrame:
 def mixed_documents(df: DataFrame, **how) -> DataFrame:
     """The documents as the mix takes them, with df's columns: a row for each whole repetition, and the first words of a fractional one.
 
-    One column named n_chars, where df has it, follows the cut texts.
+    The cut keeps the text's own white space; where it falls is what mix calls
+    taken. One column named n_chars, where df has it, follows the cut texts.
     """
     found, seed = mixture(materialise(measured(df), "words"), **how), how.get("seed", SEED)
     names, schema = df.columns, df.schema
@@ -120,7 +123,7 @@ def mixed_documents(df: DataFrame, **how) -> DataFrame:
                         if n == len(words):
                             take.append(k)
                         else:
-                            cut.append((k, b" ".join(words[:n]).decode()))
+                            cut.append((k, text[: next(islice(re.finditer(rb"\S+", text), n - 1, None)).end()].decode()))
             if take:
                 yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(take)) for c in names], names)
             for k, text in cut:

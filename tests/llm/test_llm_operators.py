@@ -388,6 +388,12 @@ def test_mixing_edges_and_documents(edge_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_the_cut_document_of_a_mix_keeps_its_white_space(spark):
+    text = "".join(f"  w{k}\n\tv{k}" for k in range(200))
+    out = [r["text"] for r in mixing.mixed_documents(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).collect()]
+    assert sorted(map(len, out))[-1] == len(text) and all(text.startswith(x) for x in out) and any(len(x) < len(text) for x in out)
+
+
 # 6 SimHash
 
 
