@@ -43,8 +43,9 @@ def batch_summary(identified: DataFrame) -> DataFrame:
 
 
 def script_report(df: DataFrame, text: str = "text") -> DataFrame:
-    """The public fields of the analysis, from at most 10000 characters a text."""
-    return scripts.analyze(df.withColumn(text, F.substring(text, 1, 10_000)), text).select(*df.columns, *scripts.PUBLIC)
+    """The public fields of the analysis, from at most 10000 characters a text; `accepted` is false where that is not the whole text, or there is none."""
+    marked = df.withColumns({"accepted": F.length(F.coalesce(F.col(text), F.lit(""))).between(1, 10_000), text: F.substring(text, 1, 10_000)})
+    return scripts.analyze(marked, text).select(*df.columns, "accepted", *scripts.PUBLIC)
 
 
 @dataclass

@@ -116,6 +116,11 @@ def test_identify(spark):
     assert max(r["total_chars"] for r in report) == 10_000 and len(report) == 5
 
 
+def test_script_reports_of_part_of_a_text_say_so(spark):
+    df = spark.createDataFrame([(1, "x" * 10_000), (2, "x" * 10_001), (3, None)], "id int, text string")
+    assert {r["id"]: r["accepted"] for r in service.script_report(df).collect()} == {1: True, 2: False, 3: False}
+
+
 def test_training_job(spark, made, tmp_path):
     made.write.parquet(str(tmp_path / "corpus"))
     done = service.train(spark, str(tmp_path / "corpus"), str(tmp_path / "out"), languages=["eng", "tam"], iterations=5, features=200)
