@@ -14,6 +14,7 @@ from scriptora.operators import corpus, ensemble, evaluation, heuristic, profile
 from scriptora.plans import fixture
 from scriptora.plans.oracle import ORACLE_SQL
 from scriptora.sources import corpus_io
+from scriptora.sources.shared import work_path
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -349,18 +350,9 @@ def quality_vs_label(spark, sf_dir):
 @query
 def stream_profile(spark, sf_dir):
     """Word counts of a stream over the documents, run to its end."""
-    import uuid
-
     from scriptora.streaming import streams
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="scriptora-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = work_path(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*").select("lang", "text")
 
