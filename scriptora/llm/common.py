@@ -1,32 +1,38 @@
-"""What the operators of this subpackage share: the shared folder, written tables, Arrow batches."""
+"""What the operators of this subpackage share: written tables, tasks, Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptora.sources.shared import work_path
+
 #: ASCII white space, the complement of the word class of every contract; bytes.split() and bytes.strip() use the same set.
 SPACES = b" \t\n\r\x0b\x0c"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where a local session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="scriptora-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Bytes of the tables read, by the plan's estimate, for which a task is worth having.
+SHARE = 32 << 20
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """df in fewer tasks where its plan has many small ones: four tasks a core, and more as its tables take more than SHARE bytes a task.
+
+    Tasks are put together without a shuffle. Small files and empty partitions
+    cost an output file each; on large tables every split keeps its own task.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(1 << 30, max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // SHARE))))
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/scriptora-{name}-{uuid.uuid4().hex}"
+def fresh(columns: Iterable[str], name: str) -> str:
+    """name, with as many more underscores in front as it takes to clash with none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +42,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     recomputation could change is fixed here.
     """
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    compact(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

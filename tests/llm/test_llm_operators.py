@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from scriptora.llm import embed_dedup, html_extract, mixing, packing, quality, secret_scan, sharding, simhash, token_files, warc
 from scriptora.llm.components import connected_components
@@ -603,30 +604,84 @@ def test_quality_statistics_and_verdicts(spark, sf, docs):
     assert np.mean(good) >= 0.99 and np.mean(bad) <= 0.2
 
 
-def test_estimates_resist_outliers(spark):
-    draw = np.random.default_rng(6)
-    rows = [(k, "en", "a", 400, int(400 * np.exp(1.6 + 0.05 * draw.normal())), 0, 0, 0, 20) for k in range(600)] + [(k, "en", "a", 400, 3600, 1200, 0, 0, 20) for k in range(250)]
-    model = quality.fit(spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality.STATS)))
-    stats = np.array([r[3:] for r in rows])
-    kept = quality.verdicts(stats, ["en"] * len(rows), ["a"] * len(rows), model)
-    assert kept[:600].all() and not kept[600:].any()
+def stats_rows(spark, rows):
+    """A table of statistics from (lang, source, words, word length, marks a character, Herdan's C)."""
+    full = [(k, lang, source, n, round(n * size), 0, 0, 0, round(n**herdan), round(n * size * marks)) for k, (lang, source, n, size, marks, herdan) in enumerate(rows)]
+    return spark.createDataFrame(full, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality.STATS))
+
+
+def verdicts(table):
+    return [r["kept"] for r in sorted(quality._judged(table, quality.QUANTILE).collect(), key=lambda r: r["doc_id"])]
+
 
+def test_concentration_comes_to_the_smallest_determinant():
+    from itertools import combinations
 
-def test_texts_far_from_a_tight_group_are_rejected_by_their_length(spark):
-    draw = np.random.default_rng(7)
-    rows = [(k, "en", "a", 400, int(400 * np.exp(1.6 + 0.03 * draw.normal())), int(draw.random() < 0.1), int(draw.random() < 0.1), 3 * int(draw.random() < 0.1), 20) for k in range(600)]
-    model = quality.fit(spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality.STATS)))
-    far = [(400, 1980, 0, 10, 80, 20), (400, 1980, 0, 10, 0, 20), (400, 1980, 60, 0, 0, 20), (400, 2700, 0, 0, 0, 20)]
-    short = [(60, 290, 1, 0, 0, 5), (60, 300, 0, 1, 0, 5), (60, 310, 0, 0, 3, 5)]
-    stats = np.array([r[3:] for r in rows] + far + short)
-    kept = quality.verdicts(stats, ["en"] * len(stats), ["a"] * len(stats), model)
-    assert kept[:600].mean() >= 0.99 and not kept[600:604].any() and kept[604:].all()
+    draw, least = np.random.default_rng(3), 1e-9
+    for _ in range(12):
+        points = draw.normal(size=(12, 3)) @ draw.normal(size=(3, 3))
+        points[:4] += draw.normal(size=3) * 20
+        best = min(np.linalg.det(np.cov(points[list(own)].T, bias=True)) for own in combinations(range(12), 6))
+        found = np.linalg.det(quality.concentrated(points, np.ones(12), 0.5, least)[1])
+        assert best * 0.999 <= found <= best * 1.001
+        assert np.allclose(quality.minimum_covariance(np.repeat(points, 2, axis=0), np.ones(24), 0.5, least)[1], quality.minimum_covariance(points, np.full(12, 2.0), 0.5, least)[1])
+    assert abs(quality.consistency(0.5, 3) - 0.5 / 0.2062) < 0.03  # P(chi-square with 5 degrees <= 2.366) = 0.2062
+
+
+def test_estimates_resist_outliers(spark):
+    draw = np.random.default_rng(6)
+    good = [("en", "a", 400, float(np.exp(1.6 + 0.05 * draw.normal())), 0.03 * float(np.exp(0.2 * draw.normal())), 0.95 + 0.01 * draw.normal()) for _ in range(600)]
+    junk = [("en", "a", 400, 9.0, 0.3, 0.7) for _ in range(250)]
+    kept = verdicts(stats_rows(spark, good + junk))
+    assert np.mean(kept[:600]) >= 0.995 and not any(kept[600:])
+
+
+def test_the_same_text_is_judged_by_its_groups_spread_and_correlation(spark):
+    draw, rows = np.random.default_rng(7), []
+    for source, spread, together in (("tight", 0.02, 0.0), ("wide", 0.12, 0.0), ("tied", 0.12, 0.98)):
+        for a, b, c in draw.normal(size=(800, 3)):
+            b = together * a + (1 - together**2) ** 0.5 * b
+            rows.append(("en", source, 2000, float(np.exp(1.6 + spread * a)), 0.03 * float(np.exp(spread * 2 * b)), 0.9 + 0.01 * c))
+    probe = (2000, float(np.exp(1.6 + 0.2)), 0.03 * float(np.exp(-0.4)), 0.9)
+    kept = verdicts(stats_rows(spark, rows + [("en", source, *probe) for source in ("tight", "wide", "tied")]))
+    assert kept[-3:] == [False, True, False]
+    assert np.mean(kept[:-3]) >= 0.995
+
+
+def test_half_a_text_repeated_and_symbols_are_rejected_and_short_texts_are_not(spark):
+    draw = np.random.default_rng(8)
+    rows = [("en", "a", 400, float(np.exp(1.6 + 0.03 * draw.normal())), 0.03 * float(np.exp(0.15 * draw.normal())), 0.95 + 0.008 * draw.normal()) for _ in range(600)]
+    odd = [("en", "a", 400, 4.95, 0.03, 0.835), ("en", "a", 400, 4.95, 0.25, 0.95), ("en", "a", 400, 6.8, 0.03, 0.95)]
+    short = [("en", "a", 60, 4.8, 0.035, 0.97), ("en", "a", 60, 5.2, 0.025, 0.93)]
+    kept = verdicts(stats_rows(spark, rows + odd + short))
+    assert kept[600:] == [False] * 3 + [True] * 2
+
+
+def test_small_groups_lean_on_all_rows_without_a_switch(spark):
+    draw = np.random.default_rng(9)
+    rows = [("en", f"s{k % 40}", 500, float(np.exp(1.6 + 0.05 * draw.normal())), 0.03, 0.94 + 0.01 * draw.normal()) for k in range(800)]
+    kept = verdicts(stats_rows(spark, rows + [(None, None, 500, 4.95, 0.03, 0.94), (None, "b", 500, 30.0, 0.5, 0.5), ("xx", None, 20, 30.0, 0.5, 0.5)]))
+    assert np.mean(kept[:800]) >= 0.99 and kept[800:] == [True, False, False]
+    shares = [max(0, n - quality.SPARE) / (max(0, n - quality.SPARE) + quality.PRIOR) for n in range(200)]
+    assert max(b - a for a, b in zip(shares, shares[1:], strict=False)) < 0.02
+
+
+def test_group_estimates_decide_on_real_rows(spark, monkeypatch):
+    table = quality.materialise(quality.measure(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")), "t")
+    own = verdicts(table)
+    monkeypatch.setattr(quality, "SPARE", 10**9)  # every group leans on the estimate over all groups alone
+    assert sum(a != b for a, b in zip(own, verdicts(table), strict=True)) >= 5
+    monkeypatch.setattr(quality, "minimum_covariance", lambda points, weights, half, least: (np.zeros(3), least * np.eye(3)))  # what is added for inversion alone
+    assert sum(a != b for a, b in zip(own, verdicts(table), strict=True)) >= 1000
 
 
 def test_quality_edges(edge_docs, no_docs):
     rows = {str(r["doc_id"]): r for r in quality.judge(edge_docs).collect()}
     assert len(rows) == 9 and rows["1"]["n_words"] == 0 and rows["6"]["base_failed"]
     assert quality.judge(no_docs).count() == 0 and quality.kept_documents(edge_docs).columns == edge_docs.columns
+    long = edge_docs.withColumn("text", F.concat(F.lit("the first of many words, "), F.expr("array_join(transform(sequence(1, 60000), x -> concat('w', x)), ' ')"))).withColumn("_stats", F.lit(1)).withColumn("centre", F.lit(2))
+    kept = quality.kept_documents(long)
+    assert kept.columns == long.columns and kept.count() == 10 and all(r["_stats"] == 1 and r["centre"] == 2 for r in kept.select("_stats", "centre").collect())
 
 
 # Pipeline
