@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from scriptora.llm.common import materialise
 
+#: Ids (or bytes, where a writer counts those) of the files that one task reads back.
+TOGETHER = 1 << 24
 MANIFEST = "part int, path string, docs long, ids long"
 
 
@@ -27,7 +29,7 @@ def write_files(df: DataFrame, folder: str, suffix: str, write: Callable[[Iterat
     Each attempt of a task writes a file of its own name and only the manifest
     says which count: those of attempts that Spark committed. A retried or
     speculative attempt, or a lost executor, leaves at most a file that nothing
-    names.
+    names. The manifest's few rows are shuffled into a few files of their own.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +50,7 @@ def write_files(df: DataFrame, folder: str, suffix: str, write: Callable[[Iterat
         full = f"{scheme}{path}" if scheme == "file://" else f"{folder}/{path.rpartition('/')[2]}"
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([full]), pa.array([docs]), pa.array([ids])], ["part", "path", "docs", "ids"])
 
-    return materialise(df.mapInArrow(task, MANIFEST), "manifest")
+    return materialise(df.mapInArrow(task, MANIFEST).repartition("part"), "manifest")
 
 
 def before(manifest: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def before(manifest: DataFrame) -> DataFrame:
 
 
 def read_files(manifest: DataFrame, read: Callable[[pa.NativeFile, dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What read gives for each file, a file for each row of the manifest; tasks get one file each as far as the number of files allows."""
+    """What read gives for each file, a file for each row of the manifest; a task gets files of about TOGETHER ids, fewer where that leaves cores idle."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,4 +68,6 @@ def read_files(manifest: DataFrame, read: Callable[[pa.NativeFile, dict], Iterat
                 with system.open_input_file(path) as source:
                     yield from read(source, row)
 
-    return manifest.repartition(max(1, manifest.count()), "part").mapInArrow(task, schema)
+    files, ids = manifest.agg(F.count("*"), F.coalesce(F.sum("ids"), F.lit(0))).first()
+    tasks = max(1, min(files, max(4 * manifest.sparkSession.sparkContext.defaultParallelism, -(-ids // TOGETHER))))
+    return manifest.repartition(tasks).mapInArrow(task, schema)

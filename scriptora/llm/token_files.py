@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptora.llm import files
-from scriptora.llm.common import text_bytes, work_path
+from scriptora.llm.common import text_bytes
 from scriptora.llm.tokens import encoder
+from scriptora.sources.shared import work_path
 
 #: A file: MAGIC, blocks, block offsets (u64), documents (id i64, null flag u8, first id u64 as three arrays), TRAILER.
 #: TRAILER: bits, ids a block, blocks, documents, ids, place of the block offsets, MAGIC. All little-endian.

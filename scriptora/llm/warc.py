@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptora.llm import files
-from scriptora.llm.common import materialise, text_bytes, work_path
+from scriptora.llm.common import compact, materialise, text_bytes
+from scriptora.sources.shared import work_path
 
 #: Numbers of the public seekable format: skippable frames, and the end of the seek table. The record index has a skippable frame of its own.
 SKIP_TABLE, SKIP_INDEX, SEEK_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
@@ -122,8 +123,12 @@ class Reader:
         return parse_record(self.frame(int(frame)), int(at))[:2]
 
 
-def roles(df: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, digest, type and target of each different (page_id, payload) of df (page_id, html); pages that repeat one of `least` bytes or more are revisits.
+#: Revisits that are sent to all tasks at once; beyond that they are joined with the pages by shuffling.
+SENT = 1_000_000
+
+
+def revisits(df: DataFrame, least: int = LEAST) -> DataFrame:
+    """(page_id, digest, target) of each different (page_id, payload) of df (page_id, html) that repeats one of `least` bytes or more, a written table.
 
     Only ids and digests are shuffled; the count of a payload that very many
     pages have is combined before it is.
@@ -131,8 +136,7 @@ def roles(df: DataFrame, least: int = LEAST) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = materialise(df.select(F.col("page_id").cast("long"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).distinct(), "digests")
     last = own.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("pages")).where("pages > 1 and target is not null").select("digest", "target")
-    found = own.join(last, "digest", "left").select("page_id", "digest", "target")
-    return found.withColumn("target", F.when(~F.col("page_id").eqNullSafe(F.col("target")), F.col("target")))
+    return materialise(own.join(last, "digest").where(~F.col("page_id").eqNullSafe(F.col("target"))).select("page_id", "digest", "target"), "revisits")
 
 
 def write_archives(df: DataFrame, folder: str, least: int = LEAST, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
@@ -141,12 +145,14 @@ def write_archives(df: DataFrame, folder: str, least: int = LEAST, date: str = "
     Of pages with equal payloads of at least `least` bytes the one with the
     largest page_id is a response and the others are revisits of it; repeated
     rows of that page are responses too, and pages without a page_id revisit
-    one that has it. No rows give no files.
+    one that has it. No rows give no files. Pages are not shuffled while the
+    revisits are few enough to be sent to them.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    of = roles(df, least).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "target")
+    of = revisits(df, least).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "target")
+    of = F.broadcast(of) if of.count() <= SENT else of
     full = df.select(F.col("page_id").cast("long"), "url", "html", F.sha1(payload).alias("digest"))
-    told = full.join(of, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest"))).select("page_id", "url", "html", "digest", "target")
+    told = full.join(of, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "target")
 
     def write(batches: Iterator[pa.RecordBatch], out: pa.NativeFile) -> tuple[int, int]:
         writer = Writer(out)
@@ -155,7 +161,7 @@ def write_archives(df: DataFrame, folder: str, least: int = LEAST, date: str = "
                 writer.add(page, record(page, url, html, digest, None if target is None else (target,), date))
         return writer.close()
 
-    return files.write_files(told, folder, "warc.zst", write)
+    return files.write_files(compact(told), folder, "warc.zst", write)
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -174,8 +180,10 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                 if response and hashlib.sha1(payload).hexdigest() != digest:
                     raise ValueError(f"{row['path']}: a payload does not have its digest")
                 length = int(http.decode().rpartition("Content-Length: ")[2])
+                if response and length != len(payload):
+                    raise ValueError(f"{row['path']}: a payload does not have its length")
                 target = headers.get("WARC-Refers-To")
-                out.append((page_of(headers["WARC-Record-ID"]), length, digest, headers["WARC-Type"], target and page_of(target), headers.get("WARC-Target-URI"), payload if response else None)[: len(names)])
+                out.append((page_of(headers["WARC-Record-ID"]), len(payload) if response else length, digest, headers["WARC-Type"], target and page_of(target), headers.get("WARC-Target-URI"), payload if response else None)[: len(names)])
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds, strict=False)], names)
 
