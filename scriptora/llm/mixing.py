@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptora.llm.common import materialise, text_bytes
+from scriptora.llm.common import compact, fresh, materialise, text_bytes
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (5, 2, 1), 1.5, 2, 17
 
@@ -39,7 +39,7 @@ def measured(df: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), pa.array([len(x.split()) for x in text_bytes(b.column(2))], pa.int64())], schema=schema)
 
-    return df.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(count, "doc_id long, source string, size long")
+    return compact(df.select(F.col("doc_id").cast("long"), "source", "text")).mapInArrow(count, "doc_id long, source string, size long")
 
 
 def _order(seed: int) -> F.Column:
@@ -109,12 +109,12 @@ def mixed_documents(df: DataFrame, **how) -> DataFrame:
     taken. One column named n_chars, where df has it, follows the cut texts.
     """
     found, seed = mixture(materialise(measured(df), "words"), **how), how.get("seed", SEED)
-    names, schema = df.columns, df.schema
+    names, schema, place = df.columns, df.schema, fresh(df.columns, "_o")
 
     def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             take, cut = [], []
-            for k, (source, order, text) in enumerate(zip(b.column("source").to_pylist(), b.column("_o").to_pylist(), text_bytes(b.column("text")), strict=True)):
+            for k, (source, order, text) in enumerate(zip(b.column("source").to_pylist(), b.column(place).to_pylist(), text_bytes(b.column("text")), strict=True)):
                 x = found[source]
                 take += [k] * (x["whole"] + (order < x["order"]))
                 if order == x["order"] and x["part"]:
@@ -130,4 +130,4 @@ def mixed_documents(df: DataFrame, **how) -> DataFrame:
                 row = b.slice(k, 1)
                 yield pa.RecordBatch.from_arrays([pa.array([text]) if c == "text" else pa.array([len(text)], row.column(c).type) if c == "n_chars" else row.column(c) for c in names], names)
 
-    return df.withColumn("_o", _order(seed)).mapInArrow(repeat, schema)
+    return compact(df.withColumn(place, _order(seed))).mapInArrow(repeat, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from scriptora.llm.common import batched, materialise, text_bytes
+from scriptora.llm.common import batched, compact, materialise, text_bytes
 from scriptora.llm.tokens import encoder
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
@@ -39,7 +39,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, with_i
 
     weigh = (lambda row: len(row[5])) if with_ids else None
     spark_schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: batched(rows(b), schema, weigh=weigh), spark_schema)
+    return compact(df.select(F.col("doc_id").cast("long"), "text")).mapInArrow(lambda b: batched(rows(b), schema, weigh=weigh), spark_schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

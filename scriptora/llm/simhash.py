@@ -9,10 +9,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from scriptora.llm.common import materialise, text_bytes
+from scriptora.llm.common import compact, fresh, materialise, text_bytes
 from scriptora.llm.components import connected_components, forest
 
 WORDS, DISTANCE, SEED, BLOCKS = 3, 3, 42, 6
@@ -50,7 +51,7 @@ def fingerprints(df: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFra
             found = np.array([fingerprint(x, words, seed) for x in text_bytes(b.column(1))], "u8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view("i8"))], schema=schema)
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, fp long")
+    return compact(df.select(F.col("doc_id").cast("long"), "text")).mapInArrow(hashed, "doc_id long, fp long")
 
 
 def _layout(blocks: int) -> list[tuple[int, int]]:
@@ -201,22 +202,42 @@ def near_duplicates(df: DataFrame, words: int = WORDS, distance: int = DISTANCE,
     pairs; repeated rows are kept. No rows give no rows; a null doc_id has a
     component_id like any other and is never one unless all are null.
     """
+    return _grouped(df, words, distance, seed).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(df: DataFrame, words: int = WORDS, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp, root, component_id) of each document; root is one fingerprint of its group, the same for all of it."""
     own = materialise(fingerprints(df, words, seed), "fingerprints")
     distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = materialise(connected_components(links(distinct, distance)), "components")
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = joined.join(least, "root").select("fp", "component_id")
-    return own.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    table = joined.join(least, "root").select("fp", "root", "component_id")
+    return own.join(table, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def without_near_duplicates(df: DataFrame, **how) -> DataFrame:
-    """df without all but the first document, by doc_id, of each group; of rows that share that doc_id one stays.
+def without_near_duplicates(df: DataFrame, words: int = WORDS, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
+    """df without all but the first document, by doc_id, of each group.
 
-    Texts are shuffled once, by doc_id, at every size; only ids are held in memory.
+    Where rows share that doc_id the one with the smallest fingerprint stays, of
+    those with equal fingerprints the one whose text has the smallest hash;
+    unlike texts of different groups under one doc_id stay both. Texts are
+    shuffled once, by doc_id, at every size; only ids are held in memory.
     """
-    groups = near_duplicates(df, **how)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
-    stay = materialise(stay, "kept")
-    once = df.join(stay.select("_id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return once if stay.where("_rows > 1").isEmpty() else once.dropDuplicates(["doc_id"])
+    groups = _grouped(df, words, distance, seed).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    name, mark = fresh(df.columns, "_id"), fresh(df.columns, "_fp")
+    stay = materialise(groups.groupBy(F.col("doc_id").alias(name), "root").agg(F.min("fp").alias(mark), F.count("*").alias("rows")), "kept")
+    once = df.join(stay.select(name).distinct().hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
+    if stay.where("rows > 1").isEmpty() and stay.groupBy(name).count().where("count > 1").isEmpty():
+        return once
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.array([fingerprint(x, words, seed) for x in text_bytes(b.column("text"))], "u8")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.view("i8"))], [*b.schema.names, mark])
+
+    full, row, other = once.mapInArrow(told, StructType([*df.schema.fields, StructField(mark, LongType())])), fresh([*df.columns, mark], "_row"), fresh([*df.columns, mark], "_mark")
+    chosen = stay.select(name, F.col(mark).alias(other))
+    full = full.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & (F.col(mark) == F.col(other)), "left_semi")
+    order = Window.partitionBy("doc_id", mark).orderBy(F.xxhash64("text"))
+    return full.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row, mark)

@@ -344,8 +344,32 @@ def test_sharding_edges(edge_docs, no_docs, tmp_path, spark):
     assert len(rows) == 10 and {r["size"] for r in rows if r["doc_id"] in (1, 2)} == {8}
     assert len({r["shard"] for r in rows if r["doc_id"] in (1, 2)}) == 1
     assert sharding.shard_by_bytes(no_docs).count() == 0
-    sharding.write_shards(edge_docs, str(tmp_path / "s"), 3)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 10
+    sharding.write_shards(edge_docs, str(tmp_path / "s"), 3, rows_per_task=2)
+    written = spark.read.parquet(str(tmp_path / "s")).collect()
+    assert sorted((str(r["doc_id"]), r["shard"], r["slot"]) for r in written) == sorted((str(r["doc_id"]), r["shard"], r["slot"]) for r in rows)  # repeated rows too
+
+
+def test_the_whole_partition_is_minimax_in_its_order_and_a_hot_group_leaves_the_rest_even(spark):
+    draw = random.Random(12)
+    for hot in (0, 30_000):
+        texts = ["x" * draw.randint(1, 400) + f" {k}" for k in range(300)] + ["hot"] * (hot // 11)
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+        found = {r["doc_id"]: r for r in sharding.shard_by_bytes(df, 6, rows_per_task=500).collect()}
+        total, of = Counter(), defaultdict(set)
+        for r in found.values():
+            total[r["shard"]] += r["size"]
+            of[texts[r["doc_id"]]].add(r["shard"])
+        assert all(len(x) == 1 for x in of.values()) and len(total) == 6
+        rest = sorted(total.values())[: 5 if hot else 6]
+        assert rest[-1] <= 1.02 * sum(rest) / len(rest) and rest[0] >= 0.98 * sum(rest) / len(rest)
+    for _ in range(60):
+        sizes = np.sort(np.array([draw.randint(1, 60) for _ in range(draw.randint(1, 40))], "i8"))[::-1]
+        shards = draw.randint(1, 7)
+        order = sharding.mixed_order(sizes, shards)
+        assert sorted(order) == list(range(len(sizes)))
+        ends = np.concatenate([[0], np.cumsum(sizes[order])])
+        cuts = [*sharding.cut_points(sizes[order], shards), len(sizes)]
+        assert max(ends[b] - ends[a] for a, b in zip(cuts, cuts[1:], strict=False)) == sharding.capacity(ends, 0, shards)
 
 
 # 5 mixing
@@ -386,6 +410,9 @@ def test_mixing_edges_and_documents(edge_docs, no_docs):
         taken[r["doc_id"]] -= len(WORD.findall(r["text"] or ""))
         assert r["n_chars"] == len(r["text"] or "")
     assert set(taken.values()) == {0}
+    named = edge_docs.withColumnRenamed("size", "_o").withColumnRenamed("fp", "_source")
+    out = mixing.mixed_documents(named).collect()
+    assert out[0].__fields__ == named.columns and {r["_o"] for r in out} == {1}
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
 
 
@@ -434,6 +461,10 @@ def test_links_are_exact_at_any_group_size(spark, together):
 def test_simhash_edges(edge_docs, no_docs):
     rows = simhash.near_duplicates(edge_docs).collect()
     assert len(rows) == 10 and {r["component_id"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1} and {r["component_id"] for r in rows if r["doc_id"] in (4, 5)} == {4}
+    named = edge_docs.withColumnRenamed("size", "_id").withColumnRenamed("fp", "_fp").withColumnRenamed("piece", "_row")
+    assert simhash.without_near_duplicates(named).columns == named.columns and simhash.without_near_duplicates(named).count() == 6
+    twin = edge_docs.where("doc_id = 4").unionByName(edge_docs.where("doc_id = 8").withColumn("doc_id", F.lit(4).cast("long")))
+    assert sorted(r["text"] for r in simhash.without_near_duplicates(twin).collect()) == sorted(r["text"] for r in twin.collect())  # unlike texts of one doc_id
     left = simhash.without_near_duplicates(edge_docs)
     assert left.columns == edge_docs.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "4", "6", "7", "8", "None"]
     assert simhash.near_duplicates(no_docs).count() == 0
@@ -475,6 +506,24 @@ def test_bit_packing_and_random_access(tmp_path, vocabulary):
         token_files.Reader(source)
 
 
+def test_the_way_of_encoding_is_chosen_by_what_the_tokenizer_file_says(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from scriptora.llm.tokens import WordEncoder
+
+    spec = json.load(open(tokenizer_path()))
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    assert WordEncoder(str(tmp_path / "other.json")).by_piece
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]  # keeps capitals
+    path = str(tmp_path / "word_bpe_x.json")
+    (tmp_path / "word_bpe_x.json").write_text(json.dumps(spec))
+    own = WordEncoder(path)
+    text = "It's NOT the Same" + " unusual" * 5 + "z" * 500
+    assert not own.by_piece and np.frombuffer(own.encode(text.encode()), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_token_file_edges(edge_docs, no_docs):
     rows = sorted(token_files.token_round_trip(edge_docs, tokenizer_path()).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in rows] == [None, 1, 2, 3, 4, 5, 5, 6, 7, 8]
