@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -18,6 +18,10 @@ from scriptora.llm.components import connected_components, forest
 COSINE = 0.93
 #: Vectors of one cell, whose tree one task builds; vectors of the sample that the upper levels come from; a leaf of a tree; children of a node above the cells.
 CELL, SAMPLE, LEAF, FAN = 2048, 16_384, 256, 512
+#: Cosines nearer to the threshold than CLOSE are taken again with more digits; less than TIE below it, the rounding of a double, they count as reaching it.
+CLOSE, TIE = 1e-12, 2.3e-16
+#: Trees of cells that a task keeps for the pairs that follow.
+KEPT = 4
 NODE = "id long, label string, width int, centre binary, radius double"
 
 
@@ -101,9 +105,11 @@ def near_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.n
                 close &= np.arange(lo, lo + len(own))[:, None] <= np.arange(len(ys))[None]
             p, q = np.nonzero(close)
             decided = a.single[own[p]] & b.single[ys[q]]
-            hit = decided & (dots[p, q] >= cosine)
+            hit = decided & (dots[p, q] >= cosine - CLOSE)
             if mirror:
                 hit &= p + lo != q
+            edge = np.flatnonzero(hit & (dots[p, q] < cosine + CLOSE))
+            hit[edge] = [_reaches(a.points[a.centre[own[p[k]]]], b.points[b.centre[ys[q[k]]]], cosine) for k in edge]
             i, j = a.centre[own[p[hit]]], b.centre[ys[q[hit]]]
             if len(i):
                 yield (np.minimum(i, j), np.maximum(i, j)) if same else (i, j)
@@ -120,6 +126,11 @@ def near_pairs(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.n
                 todo.append((own[p[~large][at]], b.children[ys[k]], False))
 
 
+def _reaches(x: np.ndarray, y: np.ndarray, cosine: float) -> bool:
+    x, y = x.astype(np.longdouble), y.astype(np.longdouble)
+    return bool((x * y).sum() / np.sqrt((x * x).sum() * (y * y).sum()) >= np.longdouble(cosine) - TIE)
+
+
 def _grouped(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each different value with the places where it is."""
     order = np.argsort(values, kind="stable")
@@ -129,7 +140,7 @@ def _grouped(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def unit_vectors(df: DataFrame) -> DataFrame:
-    """vec_id, label and the unit vector as bytes (unit: eight bytes a component); unit is null where a vector links with nothing."""
+    """vec_id, label, the unit vector as bytes (unit: eight bytes a component) and key, 128 bits of label and unit; both are null where a vector links with nothing."""
 
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,7 +152,13 @@ def unit_vectors(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(out, pa.binary())], ["vec_id", "label", "unit"])
 
     chosen = df.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
-    return chosen.mapInArrow(scaled, "vec_id long, label string, unit binary").withColumn("unit", F.when(F.col("label").isNotNull(), F.col("unit")))
+    return chosen.mapInArrow(scaled, "vec_id long, label string, unit binary").withColumn("unit", F.when(F.col("label").isNotNull(), F.col("unit"))).withColumn("key", _key())
+
+
+def _key() -> Column:
+    """What tells vectors of a label apart where they are joined without their components."""
+    label = F.concat(F.octet_length("label").cast("string"), F.lit(":"), F.col("label")).cast("binary")
+    return F.unhex(F.md5(F.concat(label, F.col("unit"))))
 
 
 def _upper_levels(sample: pd.DataFrame, cells: dict[tuple, int]) -> dict[tuple, np.ndarray]:
@@ -171,11 +188,15 @@ def _nearest(frames: Iterator[pd.DataFrame], nets: dict[tuple, np.ndarray], vect
         yield x
 
 
-def _dealt(df: DataFrame, net: str, row: str, most: int, to: str) -> DataFrame:
-    """df with a group number: the rows of one centre of a net, dealt by `row` where there are more than `most`."""
+def _dealt(df: DataFrame, net: str, row: str, most: int) -> DataFrame:
+    """df with chunk: the rows of one centre of a net, dealt by `row` where there are more than `most`. A group is of one label, width, net and chunk."""
     sizes = df.groupBy("label", "width", net).agg(F.ceil(F.count("*") / most).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64(row, F.lit(7)), F.col("chunks")).cast("int")
-    return df.join(sizes, ["label", "width", net]).withColumn(to, F.xxhash64("label", "width", net, chunk)).drop(net, "chunks")
+    return df.join(sizes, ["label", "width", net]).withColumn("chunk", F.pmod(F.xxhash64(row, F.lit(7)), F.col("chunks")).cast("int")).drop("chunks")
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table with an id for each row, which no two rows share."""
+    return materialise(df.select(F.monotonically_increasing_id().alias("id"), "*"), name)
 
 
 def _level_up(nodes: DataFrame, nets: dict[tuple, np.ndarray], fan: int) -> DataFrame:
@@ -184,10 +205,10 @@ def _level_up(nodes: DataFrame, nets: dict[tuple, np.ndarray], fan: int) -> Data
     def pack(x: pd.DataFrame) -> pd.DataFrame:
         centres = np.frombuffer(b"".join(x["centre"]), "<f8").reshape(len(x), -1)
         radius = float((_distance(centres, centres[:1])[:, 0] + x["radius"].to_numpy()).max())
-        return pd.DataFrame({"id": [x["up"].iloc[0]], "label": [x["label"].iloc[0]], "width": [x["width"].iloc[0]], "centre": [centres[0].tobytes()], "radius": [radius], "ids": [x["id"].to_numpy("<i8").tobytes()], "centres": [centres.tobytes()], "radii": [x["radius"].to_numpy("<f8").tobytes()]})
+        return pd.DataFrame({"label": [x["label"].iloc[0]], "width": [x["width"].iloc[0]], "centre": [centres[0].tobytes()], "radius": [radius], "ids": [x["id"].to_numpy("<i8").tobytes()], "centres": [centres.tobytes()], "radii": [x["radius"].to_numpy("<f8").tobytes()]})
 
     found = nodes.mapInPandas(lambda frames: _nearest(frames, nets, "centre", "net"), NODE + ", net int")
-    return _dealt(found, "net", "id", fan, "up").groupBy("up").applyInPandas(pack, NODE + ", ids binary, centres binary, radii binary")
+    return _dealt(found, "net", "id", fan).groupBy("label", "width", "net", "chunk").applyInPandas(pack, NODE.partition(", ")[2] + ", ids binary, centres binary, radii binary")
 
 
 def _level_down(pairs: DataFrame, level: DataFrame, cosine: float) -> DataFrame:
@@ -228,7 +249,7 @@ def near_cells(cells: DataFrame, nets: dict[tuple, np.ndarray], cosine: float =
         if levels and max(counts.values(), default=0) <= 1:
             break
         coarse = {k: c[: -(-2 * counts[k] // fan)] for k, c in nets.items() if counts.get(k, 0) > fan}
-        levels.append(materialise(_level_up(nodes, coarse, fan), "level"))
+        levels.append(_numbered(_level_up(nodes, coarse, fan), "level"))
         nodes = levels[-1].selectExpr("id", "label", "width", "centre", "radius")
     pairs = nodes.select("id", F.col("id").alias("other"))
     for level in reversed(levels):
@@ -255,44 +276,53 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, cell: int = CELL, sample
     own = materialise(unit_vectors(df), "units")
     fit = own.where("unit is not null")
     distinct = materialise(
-        fit.groupBy("label", "unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("rep", F.xxhash64("label", "unit")).withColumn("width", F.octet_length("unit")), "distinct-vectors"
+        fit.groupBy("label", "unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("key").alias("key")).withColumn("rep", F.monotonically_increasing_id()).withColumn("width", F.octet_length("unit")), "distinct-vectors"
     )
     counts = {(r["label"], r["width"]): r["n"] for r in distinct.groupBy("label", "width").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     if not total:
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     # The sample's rows are those of the smallest hashes, about `sample` of them.
-    low = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total))
-    few = distinct.where(low).select("label", "width", "unit", "rep").orderBy("rep").limit(2 * sample).toPandas()
+    low = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total))
+    few = distinct.where(low).select("label", "width", "unit", "key").orderBy("key", "label").limit(2 * sample).toPandas()
     centres = _upper_levels(few, {k: -(-n // cell) * 2 for k, n in counts.items() if n > cell})
 
     placed = distinct.mapInPandas(lambda frames: _nearest(frames, centres, "unit", "cell"), StructType([*distinct.schema.fields, StructField("cell", IntegerType())]))
-    placed = _dealt(materialise(placed, "cells"), "cell", "rep", cell, "id").select("id", "label", "width", "unit", "rep", "n")
+    placed = _dealt(materialise(placed, "cells"), "cell", "key", cell).select("label", "width", "cell", "chunk", "unit", "rep", "n")
 
     def bundle(x: pd.DataFrame) -> pd.DataFrame:
         points = np.frombuffer(b"".join(x["unit"]), "<f8").reshape(len(x), -1)
         radius = float(_distance(points, points[:1]).max())
-        return pd.DataFrame({"id": [x["id"].iloc[0]], "label": [x["label"].iloc[0]], "width": [x["width"].iloc[0]], "centre": [points[0].tobytes()], "radius": [radius], "units": [points.tobytes()], "reps": [x["rep"].to_numpy("<i8").tobytes()], "counts": [x["n"].to_numpy("<i8").tobytes()]})
+        return pd.DataFrame({"label": [x["label"].iloc[0]], "width": [x["width"].iloc[0]], "centre": [points[0].tobytes()], "radius": [radius], "units": [points.tobytes()], "reps": [x["rep"].to_numpy("<i8").tobytes()], "counts": [x["n"].to_numpy("<i8").tobytes()]})
 
-    bundles = placed.groupBy("id").applyInPandas(bundle, "id long, label string, width int, centre binary, radius double, units binary, reps binary, counts binary")
-    bundles = materialise(bundles, "bundles")
+    bundles = placed.groupBy("label", "width", "cell", "chunk").applyInPandas(bundle, "label string, width int, centre binary, radius double, units binary, reps binary, counts binary")
+    bundles = _numbered(bundles, "bundles")
 
     pairs = near_cells(bundles, centres, cosine, fan)
     held = bundles.select("id", "units", "reps", "counts")
     second = held.select(F.col("id").alias("other"), F.col("units").alias("units2"), F.col("reps").alias("reps2"), F.col("counts").alias("counts2"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[int, CoverTree] = {}
+
+        def tree(cell: int, units: bytes, points: int) -> CoverTree:
+            found = trees.pop(cell, None) or CoverTree(np.frombuffer(units, "<f8").reshape(points, -1))
+            trees[cell] = found
+            if len(trees) > KEPT:
+                del trees[next(iter(trees))]
+            return found
+
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 same = row["id"] == row["other"]
                 reps, n = np.frombuffer(row["reps"], "<i8"), np.frombuffer(row["counts"], "<i8")
-                a = CoverTree(np.frombuffer(row["units"], "<f8").reshape(len(reps), -1))
+                a = tree(row["id"], row["units"], len(reps))
                 if same:
                     b, reps2, n2 = a, reps, n
                 else:
                     reps2, n2 = np.frombuffer(row["reps2"], "<i8"), np.frombuffer(row["counts2"], "<i8")
-                    b = CoverTree(np.frombuffer(row["units2"], "<f8").reshape(len(reps2), -1))
+                    b = tree(row["other"], row["units2"], len(reps2))
                 more, more2, found = np.zeros(len(reps), "i8"), np.zeros(len(reps2), "i8"), []
                 for i, j in near_pairs(a, b, cosine):
                     np.add.at(more, i, n2[j])
@@ -307,14 +337,16 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, cell: int = CELL, sample
                 some = counted > 0
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([both[some], both[member]])), pa.array(np.concatenate([counted[some], np.zeros(len(member), "i8")])), pa.array(np.concatenate([both[some], both[root]]))], ["rep", "links", "to"])
 
-    tasks = pairs.join(held, "id").join(second, "other").repartition("id", "other")
-    found = materialise(tasks.mapInArrow(joined, "rep long, links long, to long"), "vector-links")
+    # A pair of a cell with itself ships it once; of the others the first cell is shipped with the pair, and pairs meet their second cell where that lies.
+    alone = held.select("id", F.col("id").alias("other"), "units", "reps", "counts", *(F.lit(None).cast("binary").alias(f"{c}2") for c in ("units", "reps", "counts")))
+    apart = pairs.where("id <> other").join(held, "id").join(second, "other").select(*alone.columns)
+    found = materialise(alone.unionByName(apart).mapInArrow(joined, "rep long, links long, to long"), "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = materialise(connected_components(found.where("rep <> to"), "rep", "to"), "vector-components")
-    nodes = distinct.select("rep", "least", "n").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root"))
+    nodes = distinct.select("rep", "key", "least", "n").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("key", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = nodes.join(least, "root").select("rep", (F.col("links") + F.col("n") - 1).alias("links"), "component_id")
-    out = own.withColumn("rep", F.when(F.col("unit").isNotNull(), F.xxhash64("label", "unit"))).drop("unit", "label").join(table, "rep", "left")
+    table = nodes.join(least, "root").select("key", (F.col("links") + F.col("n") - 1).alias("links"), "component_id")
+    out = own.select("vec_id", "key").join(table, "key", "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

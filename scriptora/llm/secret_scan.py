@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptora.llm.common import compact
+
 #: The base patterns with the least lengths of what they find, in the order of their kinds (fixed values).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -229,7 +231,7 @@ def scan(df: DataFrame, model: MarkovModel | None = None, threshold: float = THR
             if columns:
                 yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return compact(df.select(F.col("doc_id").cast("long"), "text")).mapInArrow(task, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(df: DataFrame, model: MarkovModel | None = None, threshold: float = THRESHOLD, mark: str = "[secret]") -> DataFrame:
@@ -259,4 +261,4 @@ def redact(df: DataFrame, model: MarkovModel | None = None, threshold: float = T
                 columns.append(column)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.mapInArrow(task, df.schema)
+    return compact(df).mapInArrow(task, df.schema)

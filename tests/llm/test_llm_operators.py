@@ -291,6 +291,18 @@ def test_vectors_link_alike_under_several_levels(spark):
     assert found == {k: (links[k], components[k]) for k, _, _ in rows}
 
 
+def test_vectors_are_told_apart_without_a_64_bit_hash_and_ties_link(spark, monkeypatch):
+    monkeypatch.setattr(F, "xxhash64", lambda *columns: F.lit(5).cast("long"))  # every hash collides
+    draw = np.random.default_rng(6)
+    seeds = draw.normal(size=(20, 5))
+    rows = [(k, [float(x) for x in seeds[k % 20] + draw.normal(size=5) * 0.15], ("a", "b")[k % 2]) for k in range(200)]
+    rows += [(300 + k, [1.0, 0.0], "t") for k in range(3)] + [(310, [0.93, (1 - 0.93**2) ** 0.5], "t"), (311, [0.93 - 1e-9, (1 - (0.93 - 1e-9) ** 2) ** 0.5], "t"), (312, [7.0, 0.0, 0.0], "t")]
+    links, components = brute_vectors([r for r in rows if r[0] < 310])
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), cell=16).collect()}
+    assert all(found[k] == (links[k], components[k]) for k in range(200))
+    assert found[310] == (4, 300) and found[311] == (1, 300) and found[300] == (3, 300) and found[312] == (0, 312)  # cosine 0.93 links, a billionth less does not
+
+
 def test_cover_tree_covers_and_nests():
     points = np.random.default_rng(2).normal(size=(300, 5))
     points /= np.linalg.norm(points, axis=1, keepdims=True)
