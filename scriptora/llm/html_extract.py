@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptora.llm.common import materialise
+from scriptora.llm.common import compact, materialise
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -35,13 +35,18 @@ NO_CLASS = frozenset(
     " footer foot header masthead topbar toolbar skip cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog newsletter subscribe subscription signup login paywall share sharing social related"
     " recommended recommendations trending popular comment comments commentlist reply replies respond disqus discussion form search hidden print copyright legal disclaimer toc".split()
 )
+#: Of these classes and ids, as they stand, what is inside a marked article is none of it either; a word within a longer name says nothing there.
+NO_CLASS_INSIDE = frozenset(
+    "ad ads adv advert adverts advertisement adsense adbox sponsor sponsored promo promotion promoted banner sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination pager cookie cookies cookie-notice consent gdpr popup modal"
+    " newsletter newsletter-signup subscribe share share-buttons sharing social social-share related-posts related-articles recommended recommendations trending comments comment-list commentlist respond disqus disqus_thread skip-link toc hidden".split()
+)
 MAIN = frozenset(("article", "main"))
-#: A slot is template where at least this many pages of the host have it and at least this share of them has the same text there.
-LEAST_PAGES, SAME = 4, 0.8
-#: The share of a host's pages, those most unlike its first, that tell its boilerplate; a page with fewer words of its own than OWN_WORDS is no evidence of another article.
-FAR, OWN_WORDS = 0.1, 8
-#: Elements nested deeper are read as neighbours, as browsers do.
-DEEPEST = 512
+#: A slot is template where at least this many pages of the host beside the wrapper's have it and at least this share of them has the same text there.
+LEAST_PAGES, SAME = 2, 0.8
+#: The share of a host's pages, those most unlike its first, that tell its boilerplate; a page that has fewer words of its own than OWN_WORDS beside SHARED_WORDS or more that it shares is no evidence of another article.
+FAR, OWN_WORDS, SHARED_WORDS = 0.1, 8, 80
+#: So many neighbours or more that hold links alone are a menu.
+MENU, BETWEEN = 3, " \t\r\n\f\v\xa0|\u00b7\u2022\u203a\u00bb/"
 
 
 class Tree:
@@ -71,7 +76,7 @@ class Tree:
         return own
 
     def _parse(self, source: str) -> None:
-        stack, at, size = [0], 0, len(source)
+        stack, at, size, standing = [0], 0, len(source), Counter()
         while at < size:
             found = TOKEN.search(source, at)
             if found is None:
@@ -85,8 +90,9 @@ class Tree:
                 continue
             attributes = found[3] or found[6] or ""
             if found[1] or found[4]:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if standing[tag] else ():
                     if self.tag[stack[k]] == tag:
+                        standing.subtract(self.tag[x] for x in stack[k:])
                         del stack[k:]
                         break
                     if tag in INLINE and self.tag[stack[k]] not in INLINE or tag == "p" and self.tag[stack[k]] in SCOPE:
@@ -96,6 +102,7 @@ class Tree:
             for k in range(len(stack) - 1, 0, -1) if shut else ():
                 name = self.tag[stack[k]]
                 if name in shut:
+                    standing.subtract(self.tag[x] for x in stack[k:])
                     del stack[k:]
                     if name in ("p", tag):
                         break
@@ -107,13 +114,14 @@ class Tree:
                 end = close.start() if close else size
                 self.items[own].append(source[at:end])
                 at = close.end() if close else size
-            elif tag not in VOID and not attributes.rstrip().endswith("/") and len(stack) < DEEPEST:
+            elif tag not in VOID and not attributes.rstrip().endswith("/"):
                 stack.append(own)
+                standing[tag] += 1
 
 
 _SHAPES: dict[tuple, int] = {}
 _WEIGHTS: dict[tuple[int, int], int] = {}
-_REMEMBER = 200_000
+_REMEMBER = 60_000
 
 
 class Shape:
@@ -174,7 +182,7 @@ def _table(a: Shape, p: list[int], b: Shape, q: list[int]) -> tuple[int, int, li
 
 def align(a: Shape, b: Shape) -> list[int]:
     """For each node of b the node of a that simple tree matching pairs it with, or -1."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * DEEPEST))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * min(len(a.labels), len(b.labels)) + 1000))  # a level of nesting is two calls
     to, todo = [-1] * len(b.labels), [(0, 0)]
     while todo:
         x, y = todo.pop()
@@ -218,11 +226,35 @@ def _excluded(tag: str, marks: str, in_main: bool) -> bool:
         name, _, value = pair.partition("=")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "role" and value in NO_ROLE:
             return True
-        if name in ("class", "id") and tag not in ("html", "body") and not NO_CLASS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return not (in_main and "header" in value and tag in ("header", "div", "h1"))
+        if name in ("class", "id") and tag not in ("html", "body") and (not NO_CLASS_INSIDE.isdisjoint(value.split()) if in_main else not NO_CLASS.isdisjoint(re.split(r"[^a-z0-9]+", value))):
+            return True
     return False
 
 
+def _menus(tree: Tree) -> list[bool]:
+    """For each node whether it is one of MENU or more neighbours, elements of one name with nothing but BETWEEN between them, all of whose text is in links."""
+    n = len(tree.tag)
+    bare, linked = [False] * n, [False] * n
+    for k in range(n - 1, -1, -1):
+        if tree.tag[k] == "a":
+            linked[k], bare[k] = any(isinstance(x, str) and x.strip() or isinstance(x, int) and (linked[x] or bare[x]) for x in tree.items[k]), False
+        else:
+            bare[k] = any(isinstance(x, str) and x.strip(BETWEEN) or isinstance(x, int) and bare[x] for x in tree.items[k])
+            linked[k] = any(isinstance(x, int) and linked[x] for x in tree.items[k])
+    out = [False] * n
+    for items in tree.items:
+        run: list[int] = []
+        for x in [*items, None]:
+            if isinstance(x, int) and linked[x] and not bare[x] and (not run or tree.tag[x] == tree.tag[run[0]]):
+                run.append(x)
+            elif not (isinstance(x, str) and not x.strip(BETWEEN)):
+                if len(run) >= MENU:
+                    for k in run:
+                        out[k] = True
+                run = [x] if isinstance(x, int) and linked[x] and not bare[x] else []
+    return out
+
+
 def _compared(tree: Tree, texts: list[int], to: list[int], own: list[int]) -> tuple[list[tuple[int, int, bool]], int, int]:
     """(node, length, same) of each node with text outside excluded elements, where same is whether the wrapper's page has that text in the same slot; the length of all and of the same ones."""
     skip, nodes = [False] * len(texts), []
@@ -241,13 +273,15 @@ def _copies(tree: Tree, texts: list[int], to: list[int], first: Tree, own: list[
     """Whether a page that has at least that share of its text in common with the wrapper's page has the article in common too.
 
     It has if at least that share is the same without the slots that are the
-    same on the host's most unlike pages, or if hardly a word is its own.
-    Copies cannot tell article from template.
+    same on the host's most unlike pages, or if hardly a word is its own beside
+    an article's worth of shared ones. Copies cannot tell article from template.
     """
     nodes, _, _ = _compared(tree, texts, to, own)
     rest = [(n, same) for k, n, same in nodes if not (same and to[k] in boilerplate)]
     if sum(n for n, same in rest if same) >= share * sum(n for n, _ in rest):
         return True
+    if sum(_words(tree, k).total() for k, _, same in nodes if same) < SHARED_WORDS:
+        return False
     return sum((_words(tree, k) - (_words(first, to[k]) if to[k] >= 0 else Counter())).total() for k, _, same in nodes if not same) < OWN_WORDS
 
 
@@ -256,30 +290,28 @@ def extract(tree: Tree, template: frozenset[int] = frozenset(), to: list[int] |
 
     template holds the slots of the host's wrapper whose text is constant; to
     maps the page's nodes to slots. Text in elements that are never the article
-    is dropped, then text in template slots; where the page marks an article or
-    main part, only that is the article, and without such a mark blocks made
-    mostly of links go too. If nothing were left of the article, its constant
-    slots stay: pages that are all alike have no template to tell.
+    is dropped. Where the page marks an article or main part, all the rest of
+    that is the article, what is equal on all pages (a byline) too. Elsewhere
+    constant slots are template and go, and so do menus: neighbours that hold
+    links alone. If nothing were left, constant slots stay: pages that are all
+    alike have no template to tell.
     """
     n = len(tree.tag)
-    inside, skip, linked = [False] * n, [False] * n, [False] * n
+    inside, skip, menus = [False] * n, [False] * n, _menus(tree)
     some_main = False
     for k in range(1, n):
         above = tree.parent[k]
         inside[k] = inside[above] or tree.tag[k] in MAIN or "role=main" in tree.marks[k]
-        skip[k] = skip[above] or _excluded(tree.tag[k], tree.marks[k], inside[above])
-        linked[k] = linked[above] or tree.tag[k] == "a"
+        skip[k] = skip[above] or _excluded(tree.tag[k], tree.marks[k], inside[above]) or menus[k] and not inside[k]
         some_main |= inside[k] and not skip[k]
 
     def blocks(keep_constant: bool) -> list[str]:
-        out, now, weight = [], [], [0, 0]
+        out, now = [], []
 
         def flush() -> None:
-            text = " ".join(html.unescape("".join(now)).split())
-            if text and (some_main or weight[1] * 2 <= weight[0]):
+            if text := " ".join(html.unescape("".join(now)).split()):
                 out.append(text)
             now.clear()
-            weight[:] = 0, 0
 
         todo: list = [0]
         while todo:
@@ -288,10 +320,8 @@ def extract(tree: Tree, template: frozenset[int] = frozenset(), to: list[int] |
                 flush()
             elif isinstance(x, tuple):
                 k, text = x
-                if (inside[k] or not some_main) and (keep_constant or to is None or to[k] not in template):
+                if inside[k] or not some_main and (keep_constant or to is None or to[k] not in template):
                     now.append(text)
-                    weight[0] += len(text)
-                    weight[1] += len(text) * linked[k]
             elif not skip[x]:
                 inline = tree.tag[x] in INLINE
                 if tree.tag[x] == "br":
@@ -299,7 +329,8 @@ def extract(tree: Tree, template: frozenset[int] = frozenset(), to: list[int] |
                 if not inline:
                     flush()
                     todo.append(None)
-                todo += [c if isinstance(c, int) else (x, c) for c in reversed(tree.items[x])]
+                around = not inside[x] and any(menus[c] for c in tree.children[x])  # what stands between a menu's links goes with them
+                todo += [c if isinstance(c, int) else (x, c) for c in reversed(tree.items[x]) if isinstance(c, int) or not around or c.strip(BETWEEN)]
         flush()
         return out
 
@@ -317,7 +348,7 @@ class Wrappers:
         self.pages, self.made = pages, {}
 
     def of(self, host: str) -> tuple[Shape, list[int], Tree] | None:
-        if _forget() or len(self.made) > 5000:
+        if _forget() or len(self.made) > 500:
             self.made.clear()
         if host not in self.made:
             source = self.pages.get(host)
@@ -356,7 +387,7 @@ def main_text(df: DataFrame, least_pages: int = LEAST_PAGES, same: float = SAME,
     pages without a host share one wrapper; repeated rows stay.
     """
     spark = df.sparkSession
-    pages = df.select(F.col("page_id").cast("long"), "url", "html", _host().alias("host"))
+    pages = compact(df.select(F.col("page_id").cast("long"), "url", "html", _host().alias("host")))
     first = materialise(first_pages(df, broadcast_mb), "first-pages")
     taken = first.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     small = taken <= broadcast_mb << 20

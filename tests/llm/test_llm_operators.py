@@ -119,6 +119,62 @@ def test_copies_with_a_paragraph_of_their_own_stay_whole(spark):
     assert all(len(texts[k]) == 8 for k in range(40)) and all(len(texts[100 + k]) == 1 for k in range(6))
 
 
+def wordy(draw, n):
+    return " ".join("".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(n))
+
+
+def test_the_wrapper_alone_tells_the_article_of_pages_without_telling_tags_or_classes(spark):
+    draw, rows, gold_texts = random.Random(4), [], {}
+    for host in range(6):
+        top, left, right, end = (wordy(draw, n) for n in (6, 30, 12, 40))
+        for k in range((3, 4, 7, 12, 25, 40)[host]):
+            own = [wordy(draw, draw.randint(5, 40)) for _ in range(draw.randint(1, 6))]
+            extra = f"<div>{wordy(draw, 5)}</div>" if k % 5 == 3 else ""  # more neighbours on some pages
+            body = "".join(f"<div>{x}</div>" for x in own)
+            page = f"<html><head><title>{own[0]}</title></head><body><div><div>{top}</div><div>{left}</div></div>{extra}<div><div>{body}</div></div><div><span>{right}</span><div>{end}<br>{k % 1}</div></div></body></html>"
+            rows.append((len(rows), f"http://h{host}.example/{k}", page))
+            gold_texts[rows[-1][0]] = "\n".join([re.sub("<[^>]*>", "", extra)] * bool(extra) + own)
+    found = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == gold_texts
+    assert not any(html_extract.extract(html_extract.Tree(h)) == gold_texts[k] for k, _, h in rows)  # the rules alone get none of them
+
+
+def alone(page):
+    return html_extract.extract(html_extract.Tree(page))
+
+
+def test_what_is_inside_a_marked_article_stays(spark):
+    by = "<article><h1>Title {k}</h1><p class=byline>By Jane Doe</p><section class='related-work'><p>Earlier work {k}</p></section><p class='legal'>A legal remark {k}</p><p><a href=x>See the full report {k}</a></p></article>"
+    rows = [(k, "http://h.example/", f"<body><div>Our menu of the day</div>{by.format(k=k)}</body>") for k in range(8)]
+    texts = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert texts == {k: f"Title {k}\nBy Jane Doe\nEarlier work {k}\nA legal remark {k}\nSee the full report {k}" for k in range(8)}
+    assert alone("<article><p>one</p><div class='share'>tell friends</div><div class='comments'>nice</div><form>go</form><aside>x</aside></article>") == "one"
+
+
+def test_excluded_elements_go_at_any_depth_and_menus_go_as_a_whole():
+    assert alone("<div>" * 600 + "<nav>menu words</nav><p>text</p>") == "text"
+    assert alone("<body><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul><p><a>Read the full report</a></p><p>See <a>this</a> and that</p>") == "Read the full report\nSee this and that"
+    assert alone("<div><a>Home</a> | <a>News</a> | <a>About</a></div><p>Sources: <a>A</a>, <a>B</a>, <a>C</a></p>") == "Sources: A, B, C"
+    deep = "<div>" * 20_000
+    assert html_extract.extract(html_extract.Tree(deep + "end")) == "end"
+    a = html_extract.Tree("<div>" * 3000 + "x")
+    assert html_extract.align(html_extract.Shape(a.label, a.children), html_extract.Shape(["#root", *(["div"] * 2999), "p"], [[k + 1] for k in range(3000)] + [[]]))[2999] == 2999
+
+
+@pytest.mark.parametrize("n", [3, 5])
+def test_few_pages_with_a_short_notice_over_short_texts_lose_the_notice(spark, n):
+    rows = [(k, "http://h.example/", f"<body><div>Call us at any time, day or night</div><div>Text {k}</div></body>") for k in range(n)]
+    texts = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert texts == {k: f"Text {k}" for k in range(n)}
+
+
+def test_very_long_pages_and_hosts_of_any_letters(spark):
+    long = "".join(f"<p>paragraph {k} of many words</p>" for k in range(20_000))
+    rows = [(1, "http://b\u00fccher.example/\u00e9", f"<article>{long}</article>"), (2, "//B\u00dcCHER.example", "<p>a</p>"), (3, "not a url", "<p>b"), (4, "http://\u4f8b\u3048.jp", "<p>c</p>" * 3)]
+    texts = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert texts[1].count("\n") == 19_999 and texts[2] == "a" and texts[3] == "b" and texts[4] == "c\nc\nc"
+
+
 def test_tree_matching_finds_the_best_order_preserving_match():
     def shape(spec):
         labels, children = [], []
