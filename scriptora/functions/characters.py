@@ -7,8 +7,10 @@ no shuffle, no Python.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +114,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{K.SPACE}]+"), lambda w: w != "")
 
 
+def class_counts(text: Column) -> dict[str, Column]:
+    """Characters, letters, digits, punctuation and space of a text: one replacement for each class, whatever the text's characters."""
+    text = F.coalesce(text, F.lit(""))
+    kept = lambda cls: F.length(F.regexp_replace(text, f"[^{cls}]+", "")).cast("long")
+    return {"n_chars": F.length(text).cast("long"), "n_alpha": kept(K.LETTER), "n_digits": kept(K.DIGIT), "n_punct": kept(K.PUNCTUATION), "n_spaces": kept(K.SPACE)}
+
+
+def once(value: Column) -> Column:
+    """A value that no later filter or expression evaluates again: it comes out of a one-element array."""
+    return F.explode(F.array(value))
+
+
 def quality_score(n: Column, alpha: Column, script_shares: Column) -> Column:
     """0.3 share of letters, 0.4 share of the largest script, 0.3 length up to 100 characters; 0 for an empty text."""
     score = 0.3 * (alpha / F.greatest(n, F.lit(1))) + 0.4 * map_max(script_shares) + 0.3 * F.least(F.lit(1.0), n / 100.0)
@@ -124,7 +138,7 @@ def with_text_features(df: DataFrame, text: str = "text") -> DataFrame:
     staged = staged.withColumn("_scripts", by_name(F.col("_chars"), script_of, is_letter)).withColumn("_scripts", summed(F.col("_scripts"))).withColumn("_words", words(F.col("_t")))
     chars = F.col("_chars")
     staged = staged.withColumns({
-        "n_chars": F.length("_t").cast("long"), "n_alpha": total(chars, is_letter), "n_digits": total(chars, is_digit), "n_punct": total(chars, is_punctuation), "n_spaces": total(chars, is_space),
+        **class_counts(F.col("_t")),
         "dominant_script": largest(F.col("_scripts")), "script_distribution": shares(F.col("_scripts")), "script_count": F.size("_scripts").cast("long"), "char_entropy": entropy(chars),
         "n_words": F.size("_words").cast("long"), "_word_chars": F.aggregate("_words", F.lit(0), lambda a, w: a + F.length(w)), "unique_chars": F.size("_chars").cast("long"),
     })
@@ -139,10 +153,6 @@ def with_text_features(df: DataFrame, text: str = "text") -> DataFrame:
 
 def char_script_name(char: Column) -> Column:
     """A character's script by its Unicode name: the first script of table A that the name contains, else the name's first word. Goes through Arrow; meant for tables of different characters."""
-    import unicodedata
-
-    import pandas as pd
-
     names = {n.upper(): n for n, _ in K.SCRIPTS}
 
     @F.pandas_udf("string")

@@ -27,6 +27,27 @@ def class_report(counts: DataFrame) -> DataFrame:
     return out.withColumn("f1", ratio(2.0 * F.col("tp"), F.col("predicted") + F.col("support"))).select("class", "precision", "recall", "f1", "support")
 
 
+def full_report(counts: DataFrame) -> DataFrame:
+    """class_report with the rows accuracy, macro avg and weighted avg below; in the first all ratios are the accuracy."""
+    report, total = class_report(counts), F.sum("support")
+    hits = counts.agg(F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)).alias("hits"), F.sum("n").alias("support"))
+    share = F.col("hits") / F.col("support")
+    accuracy = hits.select(F.lit("accuracy").alias("class"), share.alias("precision"), share.alias("recall"), share.alias("f1"), "support")
+    ratios = ("precision", "recall", "f1")
+    macro = report.agg(*(F.avg(c).alias(c) for c in ratios), total.alias("support")).select(F.lit("macro avg").alias("class"), *ratios, "support")
+    weighted = report.agg(*((F.sum(F.col(c) * F.col("support")) / total).alias(c) for c in ratios), total.alias("support")).select(F.lit("weighted avg").alias("class"), *ratios, "support")
+    return report.unionByName(accuracy).unionByName(macro).unionByName(weighted)
+
+
+def compare_models(found: dict[str, DataFrame]) -> DataFrame:
+    """A row for each model from its rows (true, pred): accuracy and averages."""
+    rows = [overall(confusion(df)).withColumn("model", F.lit(name)) for name, df in found.items()]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    return out.select("model", "accuracy", "macro_f1", "weighted_f1", "n_samples")
+
+
 def overall(counts: DataFrame) -> DataFrame:
     """One row: accuracy, macro and weighted averages over true and predicted classes, to six digits."""
     total = counts.agg(F.sum("n").alias("n_samples"), F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)).alias("hits"), F.countDistinct("true").alias("n_classes"))

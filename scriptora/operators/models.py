@@ -163,6 +163,16 @@ class WordNgramModel:
     def transform(self, df: DataFrame, text: str = "text", output: str = "probs") -> DataFrame:
         return self.model.transform(self._vectors(df, text)).withColumn(output, vector_to_array("probability")).drop("_x", "probability", "rawPrediction", "prediction")
 
+    def save(self, path: str) -> None:
+        _save(self.model, {"classes": self.classes, "features": self.features, "most": self.most}, path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> WordNgramModel:
+        model, side = _load(spark, path)
+        out = cls(side["features"], most=side["most"])
+        out.model, out.classes = model, side["classes"]
+        return out
+
 
 class BatchScorer:
     """Any batch function texts -> (n, classes) array as a scorer, loaded once a worker: the place for a transformer."""
@@ -177,9 +187,54 @@ class BatchScorer:
         return df.withColumn(output, predict_batch_udf(self.make, return_type=ArrayType(DoubleType()), batch_size=self.batch)(text))
 
 
-def stacking(df: DataFrame, probs: list[str], label: str = "lang") -> tuple[LogisticRegressionModel, list[str]]:
-    """Meta-learner on the concatenated probabilities of several scorers; a prediction needs the same columns."""
-    classes = sorted(r[0] for r in df.select(label).distinct().collect())
-    code = F.array_position(F.array(*map(F.lit, classes)), F.col(label)).cast("double") - 1
-    ready = df.select(array_to_vector(F.concat(*probs)).alias("_x"), code.alias("_y"))
-    return LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", maxIter=100, regParam=1e-3).fit(ready), classes
+class Stacking:
+    """A meta-learner on the concatenated probabilities of several scorers; a prediction needs the same columns in the same order."""
+
+    def __init__(self, iterations: int = 100, penalty: float = 1e-3):
+        self.iterations, self.penalty, self.classes = iterations, penalty, []
+
+    def fit(self, df: DataFrame, probs: list[str], label: str = "lang") -> Stacking:
+        self.classes = sorted(r[0] for r in df.select(label).distinct().collect())
+        code = F.array_position(F.array(*map(F.lit, self.classes)), F.col(label)).cast("double") - 1
+        ready = df.select(array_to_vector(F.concat(*probs)).alias("_x"), code.alias("_y"))
+        self.model = LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", maxIter=self.iterations, regParam=self.penalty).fit(ready)
+        return self
+
+    def transform(self, df: DataFrame, probs: list[str], output: str = "probs") -> DataFrame:
+        joined = df.withColumn("_x", array_to_vector(F.concat(*probs)))
+        return self.model.transform(joined).withColumn(output, vector_to_array("probability")).drop("_x", "probability", "rawPrediction", "prediction")
+
+    def save(self, path: str) -> None:
+        _save(self.model, {"classes": self.classes}, path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> Stacking:
+        out = cls()
+        out.model, side = _load(spark, path)
+        out.classes = side["classes"]
+        return out
+
+
+def _side(spark, value: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/side")
+
+
+def _save(model: LogisticRegressionModel, side: dict, path: str) -> None:
+    from pyspark.sql import SparkSession
+
+    model.write().overwrite().save(f"{path}/model")
+    _side(SparkSession.getActiveSession(), side, path)
+
+
+def _load(spark, path: str) -> tuple[LogisticRegressionModel, dict]:
+    return LogisticRegressionModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/side").first()[0])
+
+
+def save_vote(spark, weights: dict[str, float], models: dict[str, str], path: str) -> None:
+    """The weights of a vote and where its models are."""
+    _side(spark, {"weights": weights, "models": models}, path)
+
+
+def load_vote(spark, path: str) -> tuple[dict[str, float], dict[str, str]]:
+    side = json.loads(spark.read.text(f"{path}/side").first()[0])
+    return side["weights"], side["models"]

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from scriptora.functions import characters as C
 from scriptora.functions import cleaning
 from scriptora.functions import registry as R
-from scriptora.operators import corpus, ensemble, evaluation, heuristic, profiles, scripts
-from scriptora.plans import fixture
+from scriptora.operators import corpus, ensemble, evaluation, heuristic, models, profiles, scripts
+from scriptora.plans import fixture, service
 from scriptora.plans.oracle import ORACLE_SQL
 from scriptora.sources import corpus_io
 from scriptora.sources.shared import work_path
@@ -87,7 +87,7 @@ def quality_gate(spark, sf_dir):
 
 @query
 def post_clean_filter(spark, sf_dir):
-    cleaned = docs(spark, sf_dir).select("doc_id", cleaning.preprocess(F.col("text"), WITHOUT_NFC).alias("text"))
+    cleaned = docs(spark, sf_dir).select("doc_id", C.once(cleaning.preprocess(F.col("text"), WITHOUT_NFC)).alias("text"))
     return cleaned.where(F.length("text") >= 30).select("doc_id", F.length("text").cast("long").alias("clean_len"))
 
 
@@ -106,6 +106,11 @@ def stratified_split(spark, sf_dir):
     return corpus.split(docs(spark, sf_dir)).select("doc_id", "lang", "split")
 
 
+@query
+def seeded_order(spark, sf_dir):
+    return corpus.shuffled(docs(spark, sf_dir)).select("doc_id", corpus.seeded(42).alias("place"))
+
+
 @query
 def registry_rows(spark, sf_dir):
     return R.registry(spark).select("code", "name", "script", "iso639_1", "label_id", "direction", "family", F.size("unicode_ranges").cast("long").alias("n_ranges"), F.array_join("shares_script_with", ",").alias("shares"))
@@ -116,7 +121,7 @@ def registry_rows(spark, sf_dir):
 
 @query
 def char_class_counts(spark, sf_dir):
-    return C.with_text_features(docs(spark, sf_dir)).select("doc_id", "n_chars", "n_alpha", "n_digits", "n_punct", "n_spaces")
+    return docs(spark, sf_dir).select("doc_id", *(c.alias(name) for name, c in C.class_counts(F.col("text")).items()))
 
 
 @query
@@ -184,6 +189,27 @@ def compare_scripts(spark, sf_dir):
     return out.select("conv_id", "turn", F.array_join("shared_scripts", ",").alias("shared_scripts"), *r6("script_jaccard", "text1_mixing_score", "text2_mixing_score"), "text1_dominant", "text2_dominant")
 
 
+@query
+def lang_hints(spark, sf_dir):
+    out = scripts.analyze(fixture.frame(spark)).withColumn("e", F.array_sort(F.map_entries("lang_hints")))
+    return out.select("id", F.array_join(F.transform("e", lambda x: F.concat(x["key"], F.lit("="), F.array_join(x["value"], ","))), ";").alias("hints"))
+
+
+def _chars(spark):
+    return spark.createDataFrame([(c,) for c, _ in fixture.CHARACTERS], "c string")
+
+
+@query
+def char_script_names(spark, sf_dir):
+    return _chars(spark).select("c", C.char_script_name(F.col("c")).alias("script"))
+
+
+@query
+def char_in_script(spark, sf_dir):
+    codes = F.explode(F.array(*map(F.lit, R.CODES)))
+    return _chars(spark).withColumn("code", codes).select("c", "code", R.char_in_script(F.col("c"), F.col("code")).alias("inside"))
+
+
 # Rule-based identification
 
 
@@ -206,7 +232,7 @@ def heuristic_fallback(spark, sf_dir):
 @query
 def language_by_label(spark, sf_dir):
     """Flagship: cleaned documents, identified by the rules, counted by label and answer."""
-    cleaned = docs(spark, sf_dir).select("lang", cleaning.preprocess(F.col("text"), WITHOUT_NFC).alias("text")).where(F.length("text") >= 30)
+    cleaned = docs(spark, sf_dir).select("lang", C.once(cleaning.preprocess(F.col("text"), WITHOUT_NFC)).alias("text")).where(F.length("text") >= 30)
     found = heuristic.identify(cleaned).groupBy("lang", "rule_lang").agg(F.count("*").alias("n"), F.round(F.avg("rule_confidence"), 6).alias("mean_confidence"))
     return found.select("lang", R.name_of(F.col("lang")).alias("name"), "rule_lang", "n", "mean_confidence").orderBy("lang", "rule_lang")
 
@@ -263,6 +289,11 @@ def confusable_pairs(spark, sf_dir):
     return profiles.confusable(profiles.similarity(profiles.ngram_counts(profiles.raw_word_counts(_profile(spark, sf_dir)), 2)), 0.2)
 
 
+@query
+def similarity_matrix(spark, sf_dir):
+    return profiles.similarity_matrix(profiles.similarity(profiles.ngram_counts(profiles.raw_word_counts(_profile(spark, sf_dir)), 2)))
+
+
 # Evaluation, with the rules as the predictions
 
 
@@ -296,6 +327,21 @@ def reliability_bins(spark, sf_dir):
     return evaluation.reliability(_judged(spark, sf_dir)).select(F.col("bin").cast("long").alias("bin"), "n", *r6("confidence", "accuracy"))
 
 
+@query
+def full_report(spark, sf_dir):
+    return evaluation.full_report(evaluation.confusion(_judged(spark, sf_dir))).select("class", *r6("precision", "recall", "f1"), "support")
+
+
+@query
+def f1_bands(spark, sf_dir):
+    return evaluation.f1_bands(evaluation.class_report(evaluation.confusion(_judged(spark, sf_dir)))).select("class", "band")
+
+
+@query
+def confidence_histogram(spark, sf_dir):
+    return evaluation.confidence_histogram(_judged(spark, sf_dir)).withColumn("bin", F.col("bin").cast("long"))
+
+
 @query
 def error_summary(spark, sf_dir):
     return evaluation.error_summary(evaluation.confusion(_judged(spark, sf_dir)))
@@ -332,6 +378,86 @@ def devanagari_disambiguation(spark, sf_dir):
     return out.select("id", "predicted_lang", "confidence", "direction", "source")
 
 
+@query
+def vote_top_five(spark, sf_dir):
+    best = F.transform("top_5", lambda x: F.concat(x["lang"], F.lit("="), F.floor(x["probability"] * 1e6 + 1e-3).cast("string")))
+    return ensemble.predict(docs(spark, sf_dir)).select("doc_id", F.array_join(best, ";").alias("top_5"))
+
+
+@query
+def aligned_probabilities(spark, sf_dir):
+    df = spark.createDataFrame([(1, [0.5, 0.25, 0.25]), (2, [0.0, 0.0, 1.0])], "id long, p array<double>")
+    out = ensemble.aligned(F.col("p"), ["hin", "xx", "eng"])
+    return df.select("id", F.array_join(F.transform(out, lambda x: F.round(x * 100).cast("int").cast("string")), ",").alias("hundredths"))
+
+
+@query
+def identified_texts(spark, sf_dir):
+    """What a service answers, over the bounds of a request too."""
+    out = service.identify(docs(spark, sf_dir), clean=False)
+    return out.select("doc_id", "accepted", "predicted_lang", "confidence", F.coalesce("is_confident", F.lit(False)).alias("is_confident"), "script", "direction", F.col("text_length").cast("long").alias("text_length"))
+
+
+# Learned models, trained on the inline sentences of the twelve languages
+
+
+def _sentences(spark):
+    """Each sentence whole and in two parts, so that every n-gram is in two texts."""
+    own = fixture.frame(spark).where(F.col("id").isin(R.CODES))
+    words = F.split("text", " ")
+    half = F.ceil(F.size(words) / 2).cast("int")
+    return own.select(F.col("id").alias("lang"), F.explode(F.array(F.col("text"), F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " "))).alias("text")).where("text <> ''")
+
+
+def _held(spark):
+    return fixture.frame(spark).where(F.col("id").isin(R.CODES))
+
+
+def _char_model(spark):
+    return models.CharNgramModel(features=20_000, iterations=40, calibrate=False).fit(_sentences(spark))
+
+
+def _best(df, classes, probs):
+    return df.select("id", F.get(F.array(*map(F.lit, classes)), F.array_position(probs, F.array_max(probs)).cast("int") - 1).alias("predicted_lang"))
+
+
+@query
+def ngram_model_lang(spark, sf_dir):
+    return _char_model(spark).predict(_held(spark)).select("id", "predicted_lang")
+
+
+@query
+def word_model_lang(spark, sf_dir):
+    model = models.WordNgramModel(features=1 << 12, iterations=40).fit(_sentences(spark))
+    return _best(model.transform(_held(spark)), model.classes, "probs")
+
+
+@query
+def model_vote(spark, sf_dir):
+    """The vote of both models and the rules, with what each of them said."""
+    rows = _sentences(spark)
+    scorers = {"ngram": models.CharNgramModel(features=20_000, iterations=40, calibrate=False).fit(rows), "fasttext": models.WordNgramModel(features=1 << 12, iterations=40).fit(rows)}
+    told = F.col("model_contributions")
+    return ensemble.predict(_held(spark), scorers).select("id", "predicted_lang", told["ngram"]["lang"].alias("ngram"), told["fasttext"]["lang"].alias("words"), F.get("top_5", F.lit(0))["lang"].alias("first_of_five"))
+
+
+@query
+def stacked_models(spark, sf_dir):
+    model = _char_model(spark)
+    both = ["a", "b"]
+    scored = lambda df: model.transform(model.transform(df, output="a"), output="b")
+    stack = models.Stacking().fit(scored(_sentences(spark)), both)
+    return _best(stack.transform(scored(_held(spark)), both), stack.classes, "probs")
+
+
+@query
+def model_comparison(spark, sf_dir):
+    rows = _sentences(spark)
+    char, word = models.CharNgramModel(features=20_000, iterations=40, calibrate=False).fit(rows), models.WordNgramModel(features=1 << 12, iterations=40).fit(rows)
+    found = {name: _best(m.transform(_held(spark)), m.classes, "probs").select(F.col("id").alias("true"), F.col("predicted_lang").alias("pred")) for name, m in (("ngram", char), ("words", word))}
+    return evaluation.compare_models(found)
+
+
 @query
 def batch_stats(spark, sf_dir):
     return ensemble.batch_stats(ensemble.predict(docs(spark, sf_dir)))
@@ -344,7 +470,7 @@ def quality_vs_label(spark, sf_dir):
     return scored.join(labels, "doc_id").groupBy(F.col("quality").cast("long").alias("quality")).agg(F.count("*").alias("n"), F.round(F.avg("quality_score"), 6).alias("mean_score"))
 
 
-# Streams and models: no SQL counterpart
+# Streams
 
 
 @query

@@ -36,6 +36,12 @@ TEXTS = [
     ("bidi", "کتاب the word میز"),
 ]
 
+#: Characters with the scripts that their Unicode names say.
+CHARACTERS = [
+    ("अ", "Devanagari"), ("ক", "Bengali"), ("ਅ", "Gurmukhi"), ("અ", "Gujarati"), ("ଅ", "Oriya"), ("அ", "Tamil"), ("అ", "Telugu"), ("ಅ", "Kannada"), ("അ", "Malayalam"), ("ا", "Arabic"), ("a", "Latin"), ("é", "Latin"),
+    ("я", "Cyrillic"), ("中", "CJK"), ("7", "Digit"), ("α", "Greek"), ("ꣲ", "Devanagari"), ("ﷺ", "Arabic"),
+]
+
 
 def frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEXTS, "id string, text string")

@@ -168,6 +168,16 @@ p AS (SELECT id, segment, i, begin + sum(length(segment)) OVER (PARTITION BY id
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos FROM p WHERE length(regexp_replace(segment, {q(f'[^{L}]+')}, '', 'g')) >= 3)
 SELECT id, pos, coalesce({K.block_case('unicode(segment)')}, 'Unknown') AS script, CAST(end_at - length(segment) AS BIGINT) AS start_at, CAST(end_at AS BIGINT) AS end_at, segment FROM k"""
 
+#: Stated here once more, apart from the code that they check.
+CODES = ["ben", "eng", "guj", "hin", "kan", "mal", "mar", "ori", "pan", "tam", "tel", "urd"]
+HINTS = "CASE k WHEN 'Devanagari' THEN 'hin,mar' WHEN 'Bengali' THEN 'ben' WHEN 'Gurmukhi' THEN 'pan' WHEN 'Gujarati' THEN 'guj' WHEN 'Oriya' THEN 'ori' WHEN 'Tamil' THEN 'tam' WHEN 'Telugu' THEN 'tel' WHEN 'Kannada' THEN 'kan' WHEN 'Malayalam' THEN 'mal' WHEN 'Arabic' THEN 'urd' WHEN 'Latin' THEN 'eng' ELSE '' END"
+SPANS = {
+    "ben": [(2432, 2559)], "eng": [(0, 127), (128, 255), (256, 383)], "guj": [(2688, 2815)], "hin": [(2304, 2431), (43232, 43263)], "kan": [(3200, 3327)], "mal": [(3328, 3455)],
+    "mar": [(2304, 2431), (43232, 43263)], "ori": [(2816, 2943)], "pan": [(2560, 2687)], "tam": [(2944, 3071)], "tel": [(3072, 3199)], "urd": [(1536, 1791), (1872, 1919), (64336, 65023), (65136, 65279)],
+}
+INSIDE = " ".join(f"WHEN '{code}' THEN {' OR '.join(f'unicode(c) BETWEEN {lo} AND {hi}' for lo, hi in spans)}" for code, spans in SPANS.items())
+EXPECTED = "SELECT {} FROM (SELECT unnest(['ben', 'eng', 'guj', 'hin', 'kan', 'mal', 'mar', 'ori', 'pan', 'tam', 'tel', 'urd']) AS code)"
+
 SEEDED = "md5('42:' || doc_id)"
 FEATURES = (
     "key AS doc_id, CAST(length(text) AS BIGINT) AS n_chars, a AS n_alpha, dg AS n_digits, p AS n_punct, s AS n_spaces, coalesce(top, 'Unknown') AS dominant_script, coalesce(d, '') AS script_distribution, CAST(coalesce(kinds, 0) AS BIGINT) AS script_count,"
@@ -223,4 +233,24 @@ ORACLE_SQL: dict[str, str] = {
     "devanagari_disambiguation": f"SELECT id, predicted_lang, confidence, {case_of('predicted_lang', 5, q('LTR'))} AS direction, source FROM {votes(FIXTURE, 'id')}",
     "batch_stats": f"SELECT predicted_lang, count(*) AS n, round(avg(confidence), 4) AS mean_confidence, count(*) FILTER (WHERE confidence >= 0.75) AS n_confident FROM {votes('documents', 'doc_id')} GROUP BY 1",
     "quality_vs_label": f"SELECT CAST(quality AS BIGINT) AS quality, count(*) AS n, round(avg(qs), 6) AS mean_score FROM ({features('documents', 'doc_id', f'key AS doc_id, {QUALITY} AS qs')}) JOIN labels USING (doc_id) GROUP BY 1",
+    "lang_hints": f"WITH {chars(FIXTURE, 'id')}, {shares(K.block_case('unicode(c)'), "'Unknown'", True)} SELECT t.key AS id, coalesce(h, '') AS hints FROM t LEFT JOIN (SELECT key, string_agg(k || '=' || {HINTS}, ';' ORDER BY k) AS h FROM sc GROUP BY key) x ON x.key = t.key",
+    "char_script_names": "SELECT * FROM (VALUES " + ", ".join(f"({q(c)}, {q(s)})" for c, s in fixture.CHARACTERS) + ") v(c, script)",
+    "char_in_script": f"SELECT c, code, CASE code {INSIDE} END AS inside FROM (VALUES " + ", ".join(f"({q(c)})" for c, _ in fixture.CHARACTERS) + f") v(c) CROSS JOIN (SELECT unnest([{', '.join(map(q, CODES))}]) AS code)",
+    "seeded_order": f"SELECT doc_id, {SEEDED} AS place FROM documents",
+    "similarity_matrix": f"SELECT * FROM (PIVOT (SELECT lang1, lang2, round(sim, 4) AS sim FROM {SIMILARITY} WHERE lang1 <> lang2) ON lang2 USING first(sim) GROUP BY lang1)",
+    "full_report": f"""WITH c AS (SELECT * FROM {CLASSES}), a AS (SELECT sum(n) FILTER (WHERE "true" = pred) / sum(n) AS x, CAST(sum(n) AS BIGINT) AS s FROM {CONFUSION})
+SELECT class, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM (
+SELECT * FROM c UNION ALL SELECT 'accuracy', x, x, x, s FROM a UNION ALL SELECT 'macro avg', avg("precision"), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM c
+UNION ALL SELECT 'weighted avg', sum("precision" * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM c)""",
+    "f1_bands": f"SELECT class, CASE WHEN f1 > 0.95 THEN 'high' WHEN f1 > 0.85 THEN 'medium' ELSE 'low' END AS band FROM {CLASSES}",
+    "confidence_histogram": f"WITH j AS (SELECT * FROM {JUDGED}), e AS (SELECT min(confidence) AS lo, max(confidence) AS hi FROM j) SELECT CAST(CASE WHEN hi > lo THEN least(floor((confidence - lo) / (hi - lo) * 30), 29) ELSE 0 END AS BIGINT) AS bin, count(*) FILTER (WHERE correct) AS n_correct, count(*) FILTER (WHERE NOT correct) AS n_wrong FROM j CROSS JOIN e GROUP BY 1",
+    "vote_top_five": f"SELECT doc_id, string_agg(code || '=' || CAST(floor(p * 1e6 + 1e-3) AS BIGINT), ';' ORDER BY p DESC, code) AS top_5 FROM (SELECT doc_id, code, p, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, code) AS r FROM (SELECT doc_id, code, CASE WHEN code = rule_lang AND rule_confidence >= 0.55 THEN 0.3 * rule_confidence ELSE 0.0 END AS p FROM {rules('documents', 'doc_id')} CROSS JOIN (SELECT unnest([{', '.join(map(q, CODES))}]) AS code))) WHERE r <= 5 GROUP BY doc_id",
+    "aligned_probabilities": "SELECT * FROM (VALUES (1::BIGINT, '0,25,0,50,0,0,0,0,0,0,0,0'), (2::BIGINT, '0,100,0,0,0,0,0,0,0,0,0,0')) v(id, hundredths)",
+    "identified_texts": f"SELECT doc_id, ok AS accepted, CASE WHEN ok THEN l END AS predicted_lang, CASE WHEN ok THEN round(c, 4) END AS confidence, ok AND c >= 0.75 AS is_confident, CASE WHEN ok THEN {case_of('l', 2, q('Unknown'))} END AS script, CASE WHEN ok THEN {case_of('l', 5, q('LTR'))} END AS direction, n AS text_length FROM (SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n, length(coalesce(text, '')) BETWEEN 5 AND 10000 AS ok, coalesce(rule_lang, 'eng') AS l, CASE WHEN rule_lang IS NULL THEN 0.5 ELSE rule_confidence END AS c FROM {rules('documents', 'doc_id, text')})",
+    "ngram_model_lang": EXPECTED.format("code AS id, code AS predicted_lang"),
+    "word_model_lang": EXPECTED.format("code AS id, code AS predicted_lang"),
+    "stacked_models": EXPECTED.format("code AS id, code AS predicted_lang"),
+    "model_vote": EXPECTED.format("code AS id, code AS predicted_lang, code AS ngram, code AS words, code AS first_of_five"),
+    "model_comparison": "SELECT * FROM (VALUES ('ngram', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 12::BIGINT), ('words', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 12::BIGINT)) v(model, accuracy, macro_f1, weighted_f1, n_samples)",
+    "stream_profile": f"SELECT lang, token, n FROM {words_of("(SELECT lang, text FROM documents WHERE text <> '')")}",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -38,6 +39,42 @@ def identify(df: DataFrame, scorers: Mapping[str, ensemble.Scorer] | None = None
     return analyzed.withColumnRenamed("_script", "script").select(*out.columns, F.struct(*scripts.PUBLIC).alias("script_analysis"))
 
 
+def identify_batch(spark: SparkSession, texts: list[str], scorers: Mapping[str, ensemble.Scorer] | None = None, clean: bool = True) -> DataFrame:
+    """identify for a request of 1 to 100 texts, in their order (`place`); any other number is refused."""
+    if not 1 <= len(texts) <= 100:
+        raise ValueError("a batch has 1 to 100 texts")
+    df = spark.createDataFrame(list(enumerate(texts)), "place int, text string")
+    return identify(df, scorers, clean).orderBy("place")
+
+
+class Service:
+    """Identification with the counters and the status of a running service."""
+
+    def __init__(self, spark: SparkSession, scorers: Mapping[str, ensemble.Scorer] | None = None):
+        self.spark, self.scorers, self.began = spark, dict(scorers or {}), time.time()
+        self.requests, self.chars = 0, 0
+
+    def answer(self, texts: list[str]) -> DataFrame:
+        out = identify_batch(self.spark, texts, self.scorers)
+        self.requests += 1
+        self.chars += sum(map(len, texts))
+        return out
+
+    def status(self) -> dict:
+        return {"status": "ready", "models": sorted(self.scorers), "languages": len(R.CODES), "requests": self.requests, "characters": self.chars, "seconds": time.time() - self.began}
+
+
+def language_view(spark: SparkSession) -> DataFrame:
+    """What a language explorer shows of each registered language."""
+    return R.registry(spark).select("code", "name", "native_name", "script", "family", "direction", F.concat_ws(",", "shares_script_with").alias("shares_script_with"))
+
+
+def batch_view(identified: DataFrame) -> DataFrame:
+    """What a batch page shows: a row a predicted language with its share of the accepted texts."""
+    by = batch_summary(identified)
+    return by.crossJoin(F.broadcast(by.agg(F.sum("n").alias("every")))).select(*by.columns, (F.col("n") / F.col("every")).alias("share"))  # one row is added
+
+
 def batch_summary(identified: DataFrame) -> DataFrame:
     return ensemble.batch_stats(identified.where("accepted"))
 
@@ -72,9 +109,25 @@ def train(spark: SparkSession, corpus_path: str, out: str, languages: list[str]
     ngram.save(f"{out}/ngram")
     words = models.WordNgramModel(iterations=iterations).fit(part["train"]) if word_model else None
     scorers = {"ngram": ngram} | ({"fasttext": words} if words else {})
-    found = ensemble.predict(part["test"], scorers).select("doc_id", F.col("lang").alias("true"), F.col("predicted_lang").alias("pred"), "confidence")
-    report = evaluation.overall(evaluation.confusion(found)).withColumn("model", F.lit("ensemble"))
+    if words:
+        words.save(f"{out}/fasttext")
+    models.save_vote(spark, {k: ensemble.WEIGHTS[k] for k in scorers}, {k: f"{out}/{k}" for k in scorers}, f"{out}/vote")
+    report, found = None, {}
+    for name in [*scorers, "ensemble"]:
+        began = time.time()
+        if name == "ensemble":
+            told = ensemble.predict(part["test"], scorers).select("doc_id", F.col("lang").alias("true"), F.col("predicted_lang").alias("pred"), "confidence")
+        else:
+            own = scorers[name].transform(part["test"], output="probs")
+            told = own.select("doc_id", F.col("lang").alias("true"), F.get(F.array(*map(F.lit, scorers[name].classes)), F.array_position("probs", F.array_max("probs")).cast("int") - 1).alias("pred"))
+        told = told.select("true", "pred").persist()
+        told.count()
+        row = evaluation.overall(evaluation.confusion(told)).withColumn("model", F.lit(name)).withColumn("seconds", F.lit(time.time() - began))
+        report = row if report is None else report.unionByName(row)
+        found[name] = told
     corpus_io.write_json(report, f"{out}/metrics")
+    for told in found.values():
+        told.unpersist()
     return Trained(ngram, words, spark.read.json(f"{out}/metrics"))
 
 

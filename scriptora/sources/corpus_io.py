@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptora.functions import registry as R
+from scriptora.functions.characters import once
 from scriptora.functions.cleaning import one_line, preprocess
 from scriptora.operators import corpus
 
@@ -27,6 +32,44 @@ def load_languages(spark: SparkSession, path: str, languages: list[str] | None =
     return corpus.shuffled(df, seed) if shuffle else df
 
 
+def load_language_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """The union of one table a language (parquet with text and doc_id), each labelled with its language."""
+    out = None
+    for lang, path in paths.items():
+        one = spark.read.parquet(path).select("text", F.col("doc_id").cast("string").alias("doc_id")).withColumn("lang", F.lit(lang))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no tables")
+    return out
+
+
+def cached(spark: SparkSession, folder: str, build: Callable[[], DataFrame], **key: object) -> DataFrame:
+    """What build gives, kept as parquet under folder by every part of the key; a table that was not written to its end is built anew."""
+    name = hashlib.sha256(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()[:32]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        build().write.mode("overwrite").parquet(f"{folder}/{name}")
+    return spark.read.parquet(f"{folder}/{name}")
+
+
+class Memo:
+    """Loads of one session by key: each is persisted the first time and given back afterwards."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, DataFrame] = {}
+
+    def get(self, build: Callable[[], DataFrame], **key: object) -> DataFrame:
+        name = json.dumps(key, sort_keys=True, default=str)
+        if name not in self.held:
+            self.held[name] = build().persist()
+        return self.held[name]
+
+    def clear(self) -> None:
+        for df in self.held.values():
+            df.unpersist()
+        self.held.clear()
+
+
 def load_alignable(spark: SparkSession, path: str, max_samples: int | None = None) -> DataFrame:
     """Rows that pass the gate with lang (unk if missing) and label (-1 if unknown)."""
     df = spark.read.parquet(path)
@@ -70,4 +113,5 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 def cleaned(df: DataFrame, text: str = "text", min_len: int = 30) -> DataFrame:
     """Texts after preprocessing, those of min_len or more."""
-    return df.withColumn(text, preprocess(F.col(text))).where(F.length(text) >= min_len)
+    other = [c for c in df.columns if c != text]
+    return df.select(*other, once(preprocess(F.col(text))).alias(text)).where(F.length(text) >= min_len).select(*df.columns)

@@ -15,6 +15,17 @@ def read_corpus(spark: SparkSession, path: str, schema: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def interleaved(streams: Mapping[str, DataFrame]) -> DataFrame:
+    """The streams of several languages as one, each row with its language; stream_batches with a seed mixes them within a trigger."""
+    out = None
+    for lang, stream in streams.items():
+        one = stream.withColumn("lang", F.lit(lang))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no streams")
+    return out
+
+
 def stream_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, batch_size: int = 256, seed: int | None = None) -> StreamingQuery:
     """Every accepted row once, in batches of at most batch_size: handle gets each trigger's rows with `batch`; seed shuffles within a trigger."""
     gated = corpus.quality_gate(stream)

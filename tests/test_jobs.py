@@ -83,15 +83,24 @@ def test_char_ngram_model(spark, made, ngram, tmp_path):
     assert set(tops) == set(WORDS) and all(len(v) == 5 for v in tops.values())
 
 
-def test_vote_over_models(spark, made, ngram):
+def test_vote_over_models(spark, made, ngram, tmp_path):
     words = models.WordNgramModel(features=1 << 10, iterations=8).fit(made)
     out = ensemble.predict(made, {"ngram": ngram, "fasttext": words})
     assert share_right(out) > 0.95
     one = out.where("lang = 'hin'").first()
     assert set(one["model_contributions"]) == {"ngram", "fasttext", "heuristic"} and len(one["top_5"]) == 5
     both = words.transform(ngram.transform(made, output="p1"), output="p2")
-    meta, classes = models.stacking(both, ["p1", "p2"])
-    assert classes == sorted(WORDS) and meta.numFeatures == 6
+    meta = models.Stacking().fit(both, ["p1", "p2"])
+    assert meta.classes == sorted(WORDS) and meta.model.numFeatures == 6
+    words.save(str(tmp_path / "words"))
+    meta.save(str(tmp_path / "meta"))
+    models.save_vote(spark, {"fasttext": 1.0}, {"fasttext": str(tmp_path / "words")}, str(tmp_path / "vote"))
+    weights, places = models.load_vote(spark, str(tmp_path / "vote"))
+    again = models.WordNgramModel.load(spark, places["fasttext"])
+    assert weights == {"fasttext": 1.0} and [r["p2"] for r in again.transform(made, output="p2").collect()] == [r["p2"] for r in words.transform(made, output="p2").collect()]
+    told = models.Stacking.load(spark, str(tmp_path / "meta")).transform(both, ["p1", "p2"])
+    best = told.withColumn("predicted_lang", F.get(F.array(*map(F.lit, meta.classes)), F.array_position("probs", F.array_max("probs")).cast("int") - 1))
+    assert share_right(best) > 0.95
 
 
 def test_any_batch_function_is_a_scorer(spark, made):
@@ -116,6 +125,49 @@ def test_identify(spark):
     assert max(r["total_chars"] for r in report) == 10_000 and len(report) == 5
 
 
+def test_service_bounds_counters_and_views(spark):
+    own = service.Service(spark)
+    found = own.answer(["The book is on the table.", "abc", WORDS["tam"]]).collect()
+    assert [r["accepted"] for r in found] == [True, False, True]
+    for texts in ([], ["x"] * 101):
+        with pytest.raises(ValueError):
+            own.answer(texts)
+    status = own.status()
+    assert (status["requests"], status["characters"], status["languages"], status["models"]) == (1, 25 + 3 + len(WORDS["tam"]), 12, [])
+    view = {r["predicted_lang"]: r["share"] for r in service.batch_view(service.identify_batch(spark, ["The book is on the table.", WORDS["tam"]])).collect()}
+    assert view == {"eng": 0.5, "tam": 0.5}
+    assert service.language_view(spark).count() == 12
+
+
+def test_cached_and_remembered_loads_and_unions(spark, made, tmp_path):
+    built = []
+
+    def build(n):
+        built.append(n)
+        return made.limit(n)
+
+    assert [corpus_io.cached(spark, str(tmp_path / "c"), lambda n=n: build(n), rows=n).count() for n in (3, 5, 3)] == [3, 5, 3] and built == [3, 5]
+    memo = corpus_io.Memo()
+    assert memo.get(lambda: build(2), rows=2) is memo.get(lambda: build(2), rows=2) and built == [3, 5, 2]
+    memo.clear()
+    for lang in WORDS:
+        made.where(F.col("lang") == lang).drop("lang").write.parquet(str(tmp_path / lang))
+    both = corpus_io.load_language_files(spark, {lang: str(tmp_path / lang) for lang in WORDS})
+    assert {r["lang"]: r["count"] for r in both.groupBy("lang").count().collect()} == dict.fromkeys(WORDS, 40)
+    with pytest.raises(ValueError):
+        corpus_io.load_language_files(spark, {})
+
+
+def test_streams_of_languages_are_mixed(spark, made, tmp_path):
+    for lang in WORDS:
+        made.where(F.col("lang") == lang).drop("lang").coalesce(1).write.parquet(str(tmp_path / lang))
+    seen = []
+    each = {lang: streams.read_corpus(spark, str(tmp_path / lang), "doc_id string, text string") for lang in WORDS}
+    streams.stream_batches(streams.interleaved(each), lambda df, epoch: seen.extend((r["batch"], r["lang"], r["doc_id"]) for r in df.repartition(1).sortWithinPartitions("batch").collect()), str(tmp_path / "state"), batch_size=16, seed=3).awaitTermination()
+    want = {d for d, _, t in rows() if len(t) >= 50 and sum(c.isalpha() for c in t) / len(t) >= 0.4}
+    assert sorted(d for *_, d in seen) == sorted(want) and {lang for _, lang, _ in seen} <= set(WORDS)
+
+
 def test_script_reports_of_part_of_a_text_say_so(spark):
     df = spark.createDataFrame([(1, "x" * 10_000), (2, "x" * 10_001), (3, None)], "id int, text string")
     assert {r["id"]: r["accepted"] for r in service.script_report(df).collect()} == {1: True, 2: False, 3: False}
@@ -124,7 +176,8 @@ def test_script_reports_of_part_of_a_text_say_so(spark):
 def test_training_job(spark, made, tmp_path):
     made.write.parquet(str(tmp_path / "corpus"))
     done = service.train(spark, str(tmp_path / "corpus"), str(tmp_path / "out"), languages=["eng", "tam"], iterations=5, features=200)
-    assert done.report.first()["accuracy"] > 0.9
+    report = {r["model"]: r for r in done.report.collect()}
+    assert set(report) == {"ngram", "fasttext", "ensemble"} and report["ensemble"]["accuracy"] > 0.9 and all(r["seconds"] > 0 for r in report.values())
     parts = [corpus_io.read_split(spark, str(tmp_path / "out/splits"), k).count() for k in ("train", "val", "test")]
     assert sum(parts) == 80 and all(parts)
     assert set(done.ngram.thresholds) == {"eng", "tam"}

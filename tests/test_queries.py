@@ -5,7 +5,7 @@ import pytest
 
 from scriptora.plans.catalogue import ORACLE_SQL, QUERIES
 
-QUICK = ["clean_text", "nfc_clean", "lower_latin", "char_class_counts", "dominant_script", "heuristic_indic", "devanagari_disambiguation", "stratified_split", "overall_metrics"]
+QUICK = ["clean_text", "nfc_clean", "lower_latin", "char_class_counts", "dominant_script", "heuristic_indic", "devanagari_disambiguation", "stratified_split", "overall_metrics", "lang_hints", "char_script_names", "char_in_script", "similarity_matrix", "full_report", "confidence_histogram", "vote_top_five", "identified_texts", "model_vote", "stream_profile"]
 
 
 def plain(frame, columns):
