@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, HashingTF
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -43,23 +42,15 @@ class CharNgramModel:
         self.maps: list[list[tuple[list[float], list[float]]]] = []
 
     def _vectors(self, df: DataFrame, text: str) -> DataFrame:
+        """df with the grams' (1 + ln tf) * idf, scaled to length 1, as `_x`. All of it runs in the JVM, so no Python worker holds batches of texts."""
         counted = self.vocabulary.transform(df.withColumn("_grams", char_wb_ngrams(F.coalesce(F.col(text), F.lit(""))))).drop("_grams")
-        idf = self.idf
-
-        def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = b.schema.get_field_index("_tf")
-                kind, size, indices, values = b.column(at).flatten()
-                n = np.diff(indices.offsets.to_numpy())
-                row, tf = np.repeat(np.arange(len(n)), n), values.flatten().to_numpy()
-                w = (1.0 + np.log(tf)) * idf[indices.flatten().to_numpy()]
-                norm = np.sqrt(np.bincount(row, w * w, len(n)))
-                ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-                scaled = pa.ListArray.from_arrays(ends, pa.array(w / norm[row]), type=values.type)
-                x = pa.StructArray.from_arrays([kind, size, indices, scaled], fields=list(b.column(at).type))
-                yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != at), x], [*(c for c in b.schema.names if c != "_tf"), "_x"])
-
-        return counted.mapInArrow(weighted, StructType([f for f in counted.schema if f.name != "_tf"] + [StructField("_x", VectorUDT())]))
+        tf = F.unwrap_udt("_tf")
+        damped = F.struct(*(tf[k].alias(k) for k in ("type", "size", "indices")), F.transform(tf["values"], lambda n: 1 + F.log(n)).alias("values"))
+        # SQL makes a sparse vector of a struct only by way of JSON; doubles come back from it exactly
+        vector = F.from_json(F.to_json(F.struct(damped.alias("x"))), StructType([StructField("x", VectorUDT())]), {"mode": "FAILFAST"})["x"]
+        weighted = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_weighted").transform(counted.withColumn("_tf", vector))
+        scaled = Normalizer(inputCol="_weighted", outputCol="_x").transform(weighted).drop("_tf", "_weighted")
+        return scaled.withColumn("_x", C.once(F.col("_x")))
 
     def _fit(self, df: DataFrame, n: int) -> LogisticRegressionModel:
         return LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", regParam=1 / (self.c * n), elasticNetParam=0.0, standardization=False, maxIter=self.iterations).fit(df)
@@ -104,15 +95,13 @@ class CharNgramModel:
             total = 0
             for k, name in enumerate(frame.columns):
                 p = np.stack(frame[name].to_numpy()) if len(frame) else np.zeros((0, 1))
-                if maps:
-                    p = np.stack([np.interp(p[:, c], *maps[k][c]) if maps[k][c][0] else p[:, c] for c in range(p.shape[1])], axis=1)
-                    sums = p.sum(axis=1, keepdims=True)
-                    p = np.where(sums > 0, p / np.where(sums > 0, sums, 1), 1 / max(1, p.shape[1]))
-                total = total + p
+                p = np.stack([np.interp(p[:, c], *maps[k][c]) if maps[k][c][0] else p[:, c] for c in range(p.shape[1])], axis=1)
+                sums = p.sum(axis=1, keepdims=True)
+                total = total + np.where(sums > 0, p / np.where(sums > 0, sums, 1), 1 / max(1, p.shape[1]))
             return pd.Series(list(total / len(frame.columns)))
 
         names = [f"_p{k}" for k in range(len(self.models))]
-        return out.withColumn(output, calibrated(F.struct(*names))).drop("_x", *names)
+        return out.withColumn(output, calibrated(F.struct(*names)) if maps else F.col(names[0])).drop("_x", *names)
 
     def predict(self, df: DataFrame, text: str = "text") -> DataFrame:
         out = self.transform(df, text, "probs").withColumn("predicted_lang", F.get(F.array(*map(F.lit, self.classes)), F.array_position("probs", F.array_max("probs")).cast("int") - 1))

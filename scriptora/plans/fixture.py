@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 TEXTS = [
@@ -44,7 +45,9 @@ CHARACTERS = [
 
 
 def frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEXTS, "id string, text string")
+    """The rows as a local relation; from a plain list, Python workers on the executors would read them."""
+    ids, texts = zip(*TEXTS, strict=True)
+    return spark.createDataFrame(pa.table({"id": ids, "text": texts}))
 
 
 def values() -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptora import __main__ as cli
 from scriptora.operators import ensemble, evaluation, models, profiles, scripts
-from scriptora.plans import service
+from scriptora.plans import catalogue, service
 from scriptora.sources import corpus_io
 from scriptora.streaming import streams
 
@@ -70,6 +70,27 @@ def test_inverse_document_frequencies(made, ngram):
     assert np.allclose(ngram.idf, want)
 
 
+def test_weights_equal_plain_python(spark, ngram):
+    texts = ["", None, "zzz", "the book", "the book the book the children", WORDS["tam"] * 3]
+    place = {g: k for k, g in enumerate(ngram.vocabulary.vocabulary)}
+    found = ngram._vectors(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string"), "text").collect()
+    assert sorted(r["k"] for r in found) == list(range(len(texts)))
+    for r in found:
+        grams = [place[g] for g in wb(texts[r["k"]] or "") if g in place]
+        want = np.zeros(len(place))
+        for k in set(grams):
+            want[k] = (1 + np.log(grams.count(k))) * ngram.idf[k]
+        want /= np.linalg.norm(want) or 1
+        assert list(r["_x"].indices) == sorted(set(grams)) and np.allclose(r["_x"].toArray(), want, rtol=1e-12, atol=0)
+
+
+def test_char_ngram_query_needs_no_python_worker(spark, sf, monkeypatch):
+    """With no Python to start, its training and scoring would fail if either ran a worker."""
+    monkeypatch.setattr(spark.sparkContext, "pythonExec", "/nowhere/python")
+    found = catalogue.QUERIES["ngram_model_lang"](spark, sf).collect()
+    assert len(found) == 12 and all(r["id"] == r["predicted_lang"] for r in found)
+
+
 def test_char_ngram_model(spark, made, ngram, tmp_path):
     assert share_right(ngram.predict(made)) > 0.95
     held = spark.createDataFrame([("eng", "children look for the old book"), ("tam", "பழைய புத்தகம்"), ("eng", None), ("eng", "")], "lang string, text string")
